@@ -40,10 +40,11 @@ def count_tokens(documents: DataFrame, tokenizers: str = TOKENIZERS, ranks_file:
 class Mixture:
     """Rates and copies of documents such that each source has its share of all tokens.
 
-    Every document starts with the rate ``max_repeats`` of its source. Of all rates between 0 and max_repeats that meet
-    the token constraints, those are taken whose (Fermi) entropy relative to one half of max_repeats is greatest; they
-    are exponential tilts, rate = cap / (1 + exp(-a_s - t / T)), where the multiplier a_s of a source comes from the
-    convex dual. Newton's iterations solve the dual for all sources at once; each is one aggregate over all documents.
+    Every document starts with the rate at which the whole corpus would give the wanted total. Of all rates between 0
+    and max_repeats that meet the token constraints, those nearest to it in (Fermi) entropy are exponential tilts:
+    rate / (cap - rate) = start / (cap - start) * exp(m_s * tokens / mean tokens of the source). The multipliers m_s
+    come from the convex dual, whose gradient and curvature are one aggregate over all documents in each of Newton's
+    iterations, kept inside a bracket, for all sources at once.
     The dual falls apart by source once the total is fixed. The total is ``fill`` of the largest one that the caps
     allow. Copies are floor or ceiling of the rate: along documents ordered by length the running sum of rates is
     rounded, so that any stretch of lengths is off by less than one copy and no cap is passed. A large source is cut by
@@ -67,6 +68,7 @@ class Mixture:
         self.rows = scratch.write(counted.join(wanted, F.col("source") == F.col("source_name")).where("tokens > 0").select("doc_id", "source_name", "tokens", "max_repeats"))
         self.lengths: dict[str, float] = {}
         self.pieces: dict[str, int] = {}
+        self.starts: dict[str, float] = {}
         self.multipliers = self._balance()
 
     def _balance(self) -> dict[str, float]:
@@ -80,27 +82,34 @@ class Mixture:
         goal = {s: total * share[s] for s in stats}
         self.lengths = {s: float(stats[s].mean) for s in stats}
         self.pieces = {s: 1 + stats[s].n // self.piece_rows for s in stats}
-        # start where all rates of a source are equal
-        a = {}
+        everything = sum(x.t for x in stats.values())
         for s in stats:
-            p = min(max(goal[s] / (stats[s].cap * stats[s].t), 1e-12), 1 - 1e-12)
-            a[s] = float(math.log(p / (1 - p)) - 1)
-        for _ in range(40):
-            got = {r.source_name: r for r in self._rated(a).groupBy("source_name").agg(F.sum(F.col("rate") * F.col("tokens")).alias("g"), F.sum(F.col("rate") * (1 - F.col("rate") / F.col("max_repeats")) * F.col("tokens")).alias("h")).collect()}
+            p = min(max(total / everything / stats[s].cap, 1e-6), 0.5)
+            self.starts[s] = math.log(p / (1 - p))
+        m = dict.fromkeys(stats, 0.0)
+        bracket = {s: [-math.inf, math.inf] for s in stats}
+        slope = F.col("tokens") / F.col("mean")
+        for _ in range(60):
+            rated = self._rated(m).groupBy("source_name").agg(
+                F.sum(F.col("rate") * F.col("tokens")).alias("g"), F.sum(F.col("rate") * (1 - F.col("rate") / F.col("max_repeats")) * F.col("tokens") * slope).alias("h")
+            )
+            got = {r.source_name: r for r in rated.collect()}
             off = {s: got[s].g - goal[s] for s in stats}
             if all(abs(off[s]) <= self.tolerance * goal[s] for s in stats):
                 break
             for s in stats:
-                step = off[s] / max(got[s].h, 1e-12 * goal[s])
-                a[s] -= max(-2.0, min(2.0, step))
-        return a
+                low, high = bracket[s] = [m[s], bracket[s][1]] if off[s] < 0 else [bracket[s][0], m[s]]
+                step = off[s] / got[s].h if got[s].h > 0 else math.copysign(math.inf, off[s])
+                to = m[s] - max(-4.0, min(4.0, step))
+                m[s] = to if low < to < high else (low + high) / 2 if math.isfinite(low + high) else to
+        return m
 
     def _rated(self, multipliers: dict[str, float]) -> DataFrame:
         if not multipliers:
-            return self.rows.withColumns({"rate": F.lit(0.0), "pieces": F.lit(1)})
-        known = self.spark.createDataFrame([(s, x, self.lengths[s], self.pieces[s]) for s, x in multipliers.items()], "source_name string, a double, mean double, pieces long")
-        tilt = F.col("a") + F.least(F.col("tokens") / F.col("mean"), F.lit(30.0))
-        return self.rows.join(F.broadcast(known), "source_name").withColumn("rate", F.col("max_repeats") / (1 + F.exp(-tilt))).drop("a", "mean")
+            return self.rows.withColumns({"rate": F.lit(0.0), "pieces": F.lit(1), "mean": F.lit(1.0)})
+        known = self.spark.createDataFrame([(s, x, self.starts[s], self.lengths[s], self.pieces[s]) for s, x in multipliers.items()], "source_name string, m double, start double, mean double, pieces long")
+        tilt = F.col("start") + F.col("m") * F.col("tokens") / F.col("mean")
+        return self.rows.join(F.broadcast(known), "source_name").withColumn("rate", F.col("max_repeats") / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -tilt)))))
 
     def drawn(self) -> DataFrame:
         """doc_id, source_name, tokens, rate, copies of every document of a wanted source."""

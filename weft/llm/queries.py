@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.functions.ids import plain_id
-from weft.llm import distinct, groups, leaks, mixture
+from weft.llm import clusters, distinct, groups, leaks, mixture, neighbours, vectors
 from weft.queries_general import sql_id
 from weft.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    current = vectors.current_vectors(table(spark, d, "vector_payloads"))
+    return clusters.similarity_clusters(current).select("vec_id", "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's size, compactness and typical members, and how many pages searches for its members probed."""
+    current = vectors.current_vectors(table(spark, d, "vector_payloads"))
+    found = clusters.similarity_clusters(current)
+    probed = table(spark, d, "vector_searches").join(found, "vec_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("searches"), F.avg("probed_pages").alias("mean_probed_pages"))
+    return clusters.describe(found, current).join(probed, "cluster_id", "left").fillna(0, ["searches"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    current = vectors.current_vectors(table(spark, d, "vector_payloads"))
+    items = table(spark, d, "data_items").where(F.col("item_id").isNotNull() & vectors.usable("embedding"))
+    return neighbours.most_similar(current, items.select("item_id", F.col("embedding").alias("vector"))).select("item_id", "vec_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = groups.link_groups(groups.current_matches(table(spark, d, "rels")))
     return found.select(F.col("node").alias("node_id"), F.col("group").alias("group_id"))
@@ -72,6 +91,7 @@ reach AS (SELECT v, u FROM e UNION SELECT r.v, e.u FROM reach r JOIN e ON r.u =
 _FOUND2 = "SELECT v AS node_id, min(u) AS group_id FROM reach GROUP BY v"
 
 QUERIES = {
+    "p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found,
     "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_distinct": p5_distinct,
     "p8_found": p8_found, "p8_items": p8_items, "p9_shares": p9_shares, "p9_copies": p9_copies,
 }
