@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.functions.ids import plain_id
-from weft.llm import clusters, distinct, groups, leaks, mixture, neighbours, vectors
+from weft.llm import clusters, distinct, groups, leaks, mixture, neighbours, pii, vectors
 from weft.queries_general import sql_id
 from weft.sources.tables import table
 
@@ -84,6 +84,14 @@ def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).drawn()
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 _MATCHES = f"""m AS (SELECT src, dst FROM (SELECT {sql_id('src')} AS src, {sql_id('dst')} AS dst, tombstone, row_number() OVER (PARTITION BY {sql_id('src')}, {sql_id('dst')} ORDER BY lsn DESC NULLS LAST, coalesce(tombstone, false) DESC) AS rn FROM rels WHERE edge_type = 'SAME_AS' AND src IS NOT NULL AND dst IS NOT NULL) WHERE rn = 1 AND NOT coalesce(tombstone, false) AND src <> dst),
 e AS (SELECT src AS v, dst AS u FROM m UNION SELECT dst, src FROM m),
 reach AS (SELECT v, u FROM e UNION SELECT r.v, e.u FROM reach r JOIN e ON r.u = e.v)"""
@@ -94,6 +102,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found,
     "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_distinct": p5_distinct,
     "p8_found": p8_found, "p8_items": p8_items, "p9_shares": p9_shares, "p9_copies": p9_copies,
+    "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 SQL = {
