@@ -103,7 +103,7 @@ def _first_guess(nodes: DataFrame, queries: DataFrame, n: int, scratch: Scratch)
                 s = x[own] @ x[base].T
                 if not is_query:
                     s[np.arange(len(own)), np.arange(a, a + len(own))] = -2
-                best = _best(s, LINKS if is_query else LINKS - 4)
+                best = _best(s, 4 if is_query else LINKS // 2)
                 sims = np.take_along_axis(s, best, 1).ravel()
                 keep = sims > -2
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], best.shape[1])[keep]), pa.array(np.full(keep.sum(), is_query)), pa.array(ids[base][best.ravel()][keep]), pa.array(sims[keep])], ["owner", "is_query", "nb", "sim"])
