@@ -1,0 +1 @@
+PROCEDURES: dict = {}
