@@ -53,12 +53,12 @@ def pagerank(g: Catalog, config: dict | None = None) -> DataFrame:
     shares = scratch.write(edges.join(totals, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("share")))
     ends = shares.select(F.col("src").alias("id")).distinct().withColumn("flows", F.lit(True))
     rank = scratch.write(nodes.join(ends, "id", "left").select("id", F.coalesce("flows", F.lit(False)).alias("flows"), F.lit(1.0 / max(1, n)).alias("score")))
+    loose = rank.where("NOT flows").count() / max(1, n)
     for _ in range(most if n else 0):
-        loose = rank.where("NOT flows").agg(F.sum("score")).first()[0] or 0.0
         sent = shares.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
         new = scratch.write(rank.join(sent, F.col("id") == F.col("dst"), "left").select("id", "flows", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
-        moved = new.agg(F.sum("moved")).first()[0]
+        moved, loose = new.agg(F.sum("moved"), F.coalesce(F.sum(F.when(~F.col("flows"), F.col("score"))), F.lit(0.0))).first()
         scratch.drop(rank)
         rank = new.select("id", "flows", "score")
         if moved < tolerance:

@@ -16,7 +16,7 @@ COMMON = {"labels", "edge_types", "direction"}
 def project(g: Catalog, config: dict[str, Any] | None, also: set[str] = frozenset(), undirected: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (id) and edges (src, dst, weight) of the induced subgraph.
 
-    Unknown labels, edge types and settings are errors. ``weight`` is that numeric property, else 1. Undirected gives
+    Unknown labels, edge types and settings are errors. ``weight`` is that numeric property, else (also if it isn't finite) 1. Undirected gives
     each edge both ways, a self-loop once.
     """
     config = dict(config or {})
@@ -34,7 +34,8 @@ def project(g: Catalog, config: dict[str, Any] | None, also: set[str] = frozense
     tables = g.edge_tables(types)
     parts = g.edge_scan(tables)
     numeric = "weight" in parts.columns and dict(parts.dtypes)["weight"] in ("double", "bigint")
-    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if numeric else F.lit(1.0)
+    w = F.col("weight").cast("double") if numeric else F.lit(1.0)
+    weight = F.when(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")), 1.0).otherwise(w)
     edges = parts.select("src", "dst", weight.alias("weight"))
     edges = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
     direction = "undirected" if undirected else config.get("direction", "natural")

@@ -244,7 +244,7 @@ def _keys(v: Value) -> Value:
 
 
 def _round(c: Column) -> Column:
-    return F.when(c >= 0, F.floor(c + 0.5)).otherwise(-F.floor(-c + 0.5)).cast("double")
+    return F.when(c >= 0, F.floor(c + 0.5)).otherwise(-F.floor(-c + 0.5)).cast("double")  # halves away from zero
 
 
 SCALARS: dict[str, Callable[..., Value]] = {

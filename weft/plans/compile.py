@@ -40,6 +40,7 @@ class Compiler:
         self.procedures = procedures or {}
         self.numbers = itertools.count()
         self.used: dict[str, set[str] | None] = {}
+        self.labelled: set[str] = set()  # variables whose labels are looked at
         self._scratch: Scratch | None = None
         self.tags: list[str] = []  # columns that tie the rows of a subquery to their outer rows
 
@@ -85,6 +86,10 @@ class Compiler:
                 self.used.setdefault(n.var, set())
             if isinstance(n, A.RelPat) and n.var:
                 self.used.setdefault(n.var, set())
+            if isinstance(n, A.HasLabels) and isinstance(n.arg, A.Var):
+                self.labelled.add(n.arg.name)
+            if isinstance(n, A.Call) and n.name == "labels" and n.args and isinstance(n.args[0], A.Var):
+                self.labelled.add(n.args[0].name)
         inner = {id(n.of) for n in walk(q) if isinstance(n, A.Prop)}
         plain = {id(n.args[0]) for n in walk(q) if isinstance(n, A.Call) and n.name in ("count", "id", "elementid", "labels", "type") and n.args}
         plain |= {id(n.arg) for n in walk(q) if isinstance(n, (A.HasLabels, A.IsNull))}
@@ -101,6 +106,8 @@ class Compiler:
                 if isinstance(i.expr, A.Var) and i.alias != i.expr.name:
                     new, old = self.used.get(i.alias, set()), self.used.get(i.expr.name, set())
                     self.used[i.expr.name] = None if new is None or old is None else old | new
+                    if i.alias in self.labelled:
+                        self.labelled.add(i.expr.name)
 
     def part(self, clauses: list, f: Frame, keys: list[str]) -> Frame:
         """Run clauses from a frame. ``keys``: columns of the outer rows that a subquery works for."""
@@ -396,7 +403,7 @@ class Compiler:
         need = self.needed(n)
         ends = {"out": {t.dst_label for t in tables}, "in": {t.src_label for t in tables}}.get(direction, {x for t in tables for x in (t.src_label, t.dst_label)})
         sure = len(ends) == 1 and None not in ends and set(n.labels) <= ends
-        if need is not None and not need - {"_id"} and (sure or not n.labels and all(t.dst_label and t.src_label for t in tables)):
+        if need is not None and not need - {"_id"} and (sure or not n.labels and n.var not in self.labelled and all(t.dst_label and t.src_label for t in tables)):
             prefix = self.fresh("n")
             df = f.df.withColumnRenamed(far, f"{prefix}__id")
             phys = {"_id": f"{prefix}__id"}
