@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -373,10 +374,11 @@ class Field:
 def resolve(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
     """Of overlapping candidates the likeliest, then the longest; none of negative log-odds. In order of place."""
     out: list[tuple[int, int, str]] = []
-    for a, b, kind, score in sorted((f for f in found if f[3] > 0), key=lambda f: (-f[3], f[0] - f[1], f[0])):
-        if all(b <= x or y <= a for x, y, _ in out):
-            out.append((a, b, kind))
-    return sorted(out)
+    for a, b, kind, _ in sorted((f for f in found if f[3] > 0), key=lambda f: (-f[3], f[0] - f[1], f[0])):
+        at = bisect_left(out, (a, b, kind))
+        if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+            out.insert(at, (a, b, kind))
+    return out
 
 
 def names(text: str, ws: list[Word], labels: list[int]) -> list[tuple[int, int]]:
@@ -403,10 +405,7 @@ def names(text: str, ws: list[Word], labels: list[int]) -> list[tuple[int, int]]
             j += 1
             parts.append(labels[j])
         if FIRST in parts and SURNAME in parts:
-            end = ws[j].end
-            if ws[j].shape == 3 and not turned and text[ws[j].start : end].endswith(".") and parts[0] == FIRST and SURNAME in parts:
-                end = ws[j].end  # an initial keeps its own stop
-            out.append((ws[i].start, end))
+            out.append((ws[i].start, ws[j].end))
         i = j + 1
     return out
 
