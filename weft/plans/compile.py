@@ -241,13 +241,22 @@ class Compiler:
         # chains that touch known variables first, so that joins come before cross products
         todo = list(chains)
         conditions = list(conjuncts(where))
-        while todo:
-            at = next((i for i, c in enumerate(todo) if any(n.var in f.scope for n in c.nodes)), 0)
-            f = self.chain(todo.pop(at), f, rels, hidden)
+
+        def settle(f: Frame) -> Frame:
+            """Apply the conditions whose variables are all known."""
             ready = [c for c in conditions if not any(isinstance(n, (A.Exists, A.PatternComp)) for n in walk(c)) and {n.name for n in walk(c) if isinstance(n, A.Var)} - inner_names(c) <= set(f.scope)]
             for c in ready:
                 conditions.remove(c)
                 f = self.where(c, f)
+            return f
+
+        while todo:
+            at = next((i for i, c in enumerate(todo) if any(n.var in f.scope for n in c.nodes)), 0)
+            c = todo.pop(at)
+            first = c.nodes[0 if c.shortest else self.anchor(c.nodes, f)]
+            if first.var and first.var not in f.scope:  # its conditions hold before anything grows from it
+                f = settle(self.bind_node(first, f))
+            f = settle(self.chain(c, f, rels, hidden))
         for c in conditions:
             f = self.where(c, f)
         keep = {v: x for v, x in f.scope.items() if v not in hidden}
@@ -477,12 +486,12 @@ class Compiler:
 
     def shortest(self, c: A.Chain, nodes: list[A.NodePat], r: A.RelPat, f: Frame) -> Frame:
         """Breadth first from all sources at once; a vertex is left out once it was reached on an earlier level."""
-        for n in nodes:
-            if n.var not in f.scope:
-                f = self.bind_node(n, f)
-            elif n.labels or n.props:
-                f = self.bind_node(n, f)
-        a, b = (V.part(f.scope[n.var], "_id").col for n in nodes)
+        f = self.bind_node(nodes[0], f)
+        goal_known = nodes[1].var in f.scope
+        if goal_known:
+            f = self.bind_node(nodes[1], f)
+        a = V.part(f.scope[nodes[0].var], "_id").col
+        b = V.part(f.scope[nodes[1].var], "_id").col if goal_known else None
         low, high = self.hops(r) if r.many else (1, 1)
         tables = self.edges(r, (), (), r.direction)
         steps, rel = self.steps(tables, r.direction, self.needed(r), "s")
@@ -491,8 +500,12 @@ class Compiler:
         steps = steps.select("near", "far", F.struct(*[v.col.alias(k) for k, v in rel.fields.items()]).alias("rel"))
         kind = steps.schema["rel"].dataType.simpleString()
         base = self.scratch.write(f.df)
-        pairs = self.scratch.write(base.select(a.alias("start"), b.alias("goal")).where("start IS NOT NULL AND goal IS NOT NULL AND start <> goal").distinct())
-        level = pairs.select("start", F.col("start").alias("end"), F.array().cast(f"array<{kind}>").alias("rels"), F.array("start").alias("ids")).distinct()
+        starts = base.select(a.alias("start")).where("start IS NOT NULL").distinct()
+        pairs = None
+        if goal_known:
+            pairs = self.scratch.write(base.select(a.alias("start"), b.alias("goal")).where("start IS NOT NULL AND goal IS NOT NULL AND start <> goal").distinct())
+            starts = pairs.select("start").distinct()
+        level = self.scratch.write(starts.select("start", F.col("start").alias("end"), F.array().cast(f"array<{kind}>").alias("rels"), F.array("start").alias("ids")))
         seen = level.select("start", "end")
         found: list[DataFrame] = []
         for n in range(1, high + 1):
@@ -504,7 +517,9 @@ class Compiler:
             if level.isEmpty():
                 break
             seen = self.scratch.write(seen.unionByName(level.select("start", "end").distinct()))
-            if n >= low:
+            if n >= low and pairs is None:
+                found.append(level)
+            elif n >= low:
                 hit = level.join(pairs.withColumnRenamed("goal", "end"), ["start", "end"], "left_semi")
                 found.append(hit)
                 pairs = self.scratch.write(pairs.join(hit.select("start", F.col("end").alias("goal")).distinct(), ["start", "goal"], "left_anti"))
@@ -514,12 +529,16 @@ class Compiler:
         out = reduce(DataFrame.unionByName, found) if found else level.limit(0)
         prefix = self.fresh("w")
         out = out.select(*[F.col(x).alias(prefix + y) for x, y in (("start", "s"), ("end", "e"), ("rels", "r"), ("ids", "i"))])
-        df = base.join(out, (a == F.col(prefix + "s")) & (b == F.col(prefix + "e"))).drop(prefix + "s", prefix + "e")
+        on = a == F.col(prefix + "s")
+        df = base.join(out, on & (b == F.col(prefix + "e")) if goal_known else on)
+        df = df.drop(prefix + "s", prefix + "e") if goal_known else df.drop(prefix + "s")
         scope = f.scope | {
             r.var: Value(F.col(prefix + "r"), "list<rel>", rel.fields, phys={"": prefix + "r"}),
             "#ids " + r.var: Value(F.col(prefix + "i"), "list<any>", phys={"": prefix + "i"}),
         }
         g = Frame(df, scope)
+        if not goal_known:
+            g = self.land(nodes[1], g, prefix + "e", [EdgeTable("", self.unit().df)], r.direction)
         return self.path(c.path, nodes, [A.RelPat(r.var, r.types, r.direction, many=True)], g) if c.path else g
 
     def path(self, name: str, nodes: list[A.NodePat], pats: list[A.RelPat], f: Frame) -> Frame:

@@ -99,7 +99,7 @@ trade(
 )
 trade("variable_length_zero", "MATCH (n:Nation {key: 7})-[p:IN_REGION*0..1]->(x) RETURN size(p) AS hops, x.name AS name", "SELECT 0::BIGINT AS hops, n_name AS name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 1, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7")
 trade("variable_length_exact", "MATCH (r:Region)<-[:IN_REGION|IN_NATION*2]-(c:Customer) RETURN r.name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-trade("path_value", "MATCH p = (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.key <= 20 RETURN c.key AS key, length(p) AS hops, nodes(p)[2].name AS region, type(relationships(p)[0]) AS first", "SELECT c_custkey AS key, 2::BIGINT AS hops, r_name AS region, 'IN_NATION' AS first FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= 20")
+trade("path_value", "MATCH p = (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN c.key AS key, length(p) AS hops, nodes(p)[2].name AS region, type(relationships(p)[0]) AS first", "SELECT c_custkey AS key, 2::BIGINT AS hops, r_name AS region, 'IN_NATION' AS first FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 trade("inline_edge_property", "MATCH (o:Order)-[:CONTAINS {lines: 2}]->(p:Part) RETURN o.key AS order_key, p.key AS part_key", "SELECT l_orderkey AS order_key, l_partkey AS part_key FROM lineitem GROUP BY 1, 2 HAVING count(*) = 2")
 
 social("expand_both", "MATCH (a:Person)-[:KNOWS]-(b) RETURN count(*) AS n", "WITH E SELECT (SELECT count(*) FROM e JOIN nodes ON src = id AND label = 'Person' JOIN (SELECT id AS i2 FROM nodes) ON dst = i2 WHERE edge_type = 'KNOWS') + (SELECT count(*) FROM e JOIN nodes ON dst = id AND label = 'Person' JOIN (SELECT id AS i2 FROM nodes) ON src = i2 WHERE edge_type = 'KNOWS' AND src <> dst) AS n")
@@ -117,13 +117,14 @@ t2 AS (SELECT p.src AS s, q.dst AS t, p.src AS a1, p.dst AS a2, q.src AS b1, q.d
 t3 AS (SELECT t2.s, w.dst AS t FROM t2 JOIN r w ON t2.t = w.src WHERE NOT (w.src = a1 AND w.dst = a2) AND NOT (w.src = b1 AND w.dst = b2)),
 every AS (SELECT 1::BIGINT AS hops, src AS s, dst AS t FROM r UNION ALL SELECT 2, s, t FROM t2 UNION ALL SELECT 3, s, t FROM t3)
 SELECT hops, count(*) AS n FROM every JOIN nodes a ON s = a.id AND a.label = 'Comment' JOIN nodes b ON t = b.id GROUP BY 1""")
-_BFS = """WITH RECURSIVE E, k AS (SELECT src, dst FROM e WHERE edge_type = 'LINKS_TO'), starts AS (SELECT DISTINCT id FROM nodes WHERE label = 'Post' AND id < '4f017f'),
-f(s, v, d) AS (SELECT id, id, 0 FROM starts UNION SELECT s, dst, d + 1 FROM f JOIN k ON v = src WHERE d < 4), best AS (SELECT s, v, min(d) AS d FROM f GROUP BY 1, 2)"""
-_LINKED = "MATCH (a:Post) WHERE id(a) < '4f017f' MATCH (b:Post) WHERE EXISTS { (b)<-[:LINKS_TO]-() } "
-social("shortest_path", _LINKED + "MATCH p = shortestPath((a)-[:LINKS_TO*..4]->(b)) RETURN length(p) AS hops, count(*) AS n", _BFS + " SELECT d::BIGINT AS hops, count(*) AS n FROM best JOIN nodes b ON v = b.id AND b.label = 'Post' WHERE d > 0 GROUP BY 1")
-social("all_shortest_paths", _LINKED + "MATCH p = allShortestPaths((a)-[:LINKS_TO*..4]->(b)) RETURN length(p) AS hops, count(*) AS n", _BFS + """, paths(s, v, d, n) AS (SELECT id, id, 0, 1::HUGEINT FROM starts UNION ALL SELECT p.s, k.dst, p.d + 1, p.n FROM paths p JOIN k ON p.v = k.src JOIN best ON best.s = p.s AND best.v = k.dst AND best.d = p.d + 1 WHERE p.d < 4)
+_BFS = """WITH RECURSIVE E, k AS (SELECT src, dst FROM e WHERE edge_type = 'LINKS_TO'), starts AS (SELECT DISTINCT id FROM nodes WHERE label = 'Post'),
+f(s, v, d) AS (SELECT id, id, 0 FROM starts UNION SELECT s, dst, d + 1 FROM f JOIN k ON v = src WHERE d < 3), best AS (SELECT s, v, min(d) AS d FROM f GROUP BY 1, 2)"""
+social("shortest_path", "MATCH p = shortestPath((a:Post)-[:LINKS_TO*..3]->(b:Post)) RETURN length(p) AS hops, count(*) AS n", _BFS + " SELECT d::BIGINT AS hops, count(*) AS n FROM best JOIN nodes b ON v = b.id AND b.label = 'Post' WHERE d > 0 GROUP BY 1")
+social("all_shortest_paths", "MATCH p = allShortestPaths((a:Post)-[:LINKS_TO*..3]->(b:Post)) RETURN length(p) AS hops, count(*) AS n", _BFS + """, paths(s, v, d, n) AS (SELECT id, id, 0, 1::HUGEINT FROM starts UNION ALL SELECT p.s, k.dst, p.d + 1, p.n FROM paths p JOIN k ON p.v = k.src JOIN best ON best.s = p.s AND best.v = k.dst AND best.d = p.d + 1 WHERE p.d < 3)
 SELECT d::BIGINT AS hops, sum(n)::BIGINT AS n FROM paths JOIN nodes b ON v = b.id AND b.label = 'Post' WHERE d > 0 GROUP BY 1""")
 
+trade("shortest_path_pairs", "MATCH (a:Region {name: 'ASIA'}), (b:Customer) MATCH p = shortestPath((a)-[:IN_NATION|IN_REGION*..3]-(b)) RETURN b.key AS key, length(p) AS hops", "SELECT c_custkey AS key, 2::BIGINT AS hops FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+
 # --- rows, order, sets
 
 trade("null_order_ascending", "MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation) WHERE n.key < 3 RETURN r.name AS region, n.name AS nation ORDER BY nation, region LIMIT 4", "SELECT r_name AS region, n_name AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 3 ORDER BY nation NULLS LAST, region LIMIT 4")

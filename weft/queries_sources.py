@@ -17,7 +17,7 @@ from weft.streaming.feed import ChangeFeed
 
 
 def _vault(spark: SparkSession, d: str) -> GraphSession:
-    docs = table(spark, d, "documents").where("source IS NOT NULL AND note_path IS NOT NULL")
+    docs = table(spark, d, "documents")
     return GraphSession(spark, vault_graph(docs.select("vault", F.col("note_path").alias("path"), "text")))
 
 
@@ -82,7 +82,7 @@ def text_prefix(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     g = Catalog(spark)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    vectors = hash_embedding(docs, "doc_id", "text")
+    vectors = Scratch(spark, "hybrid").write(hash_embedding(docs, "doc_id", "text"))
     g.register_nodes("Doc", docs.withColumn("key", F.col("doc_id")).join(vectors, "doc_id"), "doc_id")
     probe = list(hash_embedding(spark.createDataFrame([(0, "tombstones behind the gateway")], "k int, t string"), "k", "t").first()[1])
     q = "CALL search.hybrid({label: 'Doc', text_property: 'text', query_text: 'tombstones gateway', query_vector: $q, vector_property: 'embedding', k: 10}) YIELD node, score RETURN node.key AS key, score"

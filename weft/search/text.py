@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from weft.cypher.ast import CypherError
 from weft.plans.catalog import Catalog
 from weft.search.filters import apply_filter, settings
+from weft.storage import Scratch
 
 #: Fixed values of the ranking, and the number of vocabulary terms that a prefix stands for at most (the first in order).
 K1, B, PREFIX_TERMS = 1.5, 0.75, 64
@@ -83,7 +84,7 @@ def bm25(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
     empty = spark.createDataFrame([], f"id {dict(docs.dtypes)['id']}, score double")
     if not terms and not prefixes:
         return empty
-    found = matching_terms(docs, terms, prefixes, phrases, columns).where("length > 0")
+    found = Scratch(spark, "bm25").write(matching_terms(docs, terms, prefixes, phrases, columns).where("length > 0"))
     n, mean = found.agg(F.count(F.lit(1)), F.avg("length")).first()
     if not n:
         return empty

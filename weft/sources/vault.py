@@ -127,15 +127,24 @@ def hash_embedding(texts: DataFrame, key: str, text: str, dimension: int = 256)
     from weft.search.text import tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            h = 0xCBF29CE484222325
+            for byte in token.encode():
+                h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            if len(known) > 500_000:
+                known.clear()
+            known[token] = at = (h % dimension, 1.0 if h >> 63 == 0 else -1.0)
+            return at
+
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 v = np.zeros(dimension, np.float64)
                 for token in tokens(t or ""):
-                    h = 0xCBF29CE484222325
-                    for byte in token.encode():
-                        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-                    v[h % dimension] += 1.0 if h >> 63 == 0 else -1.0
+                    i, sign = known.get(token) or place(token)
+                    v[i] += sign
                 n = np.linalg.norm(v)
                 out.append((v / n if n else v).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], [key, "embedding"])
