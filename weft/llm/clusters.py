@@ -7,20 +7,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from weft.llm.groups import link_groups
 from weft.llm.vectors import DIMENSION, matrix, packed
 from weft.storage import Scratch
 
-#: Two vectors this near a splitting plane are looked at on both sides of it. A similar pair lies 0.55 apart at most,
-#: and in 64 dimensions about 0.07 of it along any one direction.
-MARGIN = 0.15
 #: A node of at most this many vectors is split further inside one task.
 BLOCK_ROWS = 24_000
 #: Vectors from which the first two centres of each node are taken; all later steps use all vectors.
 SEED_SAMPLE = 8192
+#: Leaves whose centres are this similar are compared by their vectors. Vectors of two leaves are similar (0.85) only if
+#: their centres are, but for the part of their spread that lies in one common direction, one of 64.
+CENTRE_SIMILARITY = 0.7
+#: Leaf centres that serve as pivots at most, and the nearest pivots under which a leaf is looked for.
+PIVOTS, PROBES = 4096, 8
 
 
 @dataclass
@@ -49,21 +51,6 @@ class Tree:
             at[rows] = np.where(side, right[node], left[node])
         return at
 
-    def reach(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, leaf) of each row with its own leaf and those whose planes it is within the margin of."""
-        rows, leaves, todo = [], [], [(0, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            if not len(at):
-                continue
-            if self.left[node] < 0:
-                rows.append(at)
-                leaves.append(np.full(len(at), node))
-                continue
-            away = x[at] @ self.w[node] - self.b[node]
-            todo += [(self.left[node], at[away <= margin]), (self.right[node], at[away > -margin])]
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(leaves or [np.zeros(0, int)])
-
 
 def _far_pair(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = x[np.argmin(x @ x.sum(0))]
@@ -82,8 +69,7 @@ def fit_tree(units: DataFrame, n: int, block_rows: int = BLOCK_ROWS, rounds: int
     """Split nodes of more than block_rows vectors by 2-means over all their vectors, all such nodes in each pass.
 
     A pass is one aggregate: each task sums its vectors by node and nearer centre, so the driver gets two sums a node.
-    Nodes that are compact in every direction (most vectors within the margin of the plane) aren't split; their size is
-    returned with them, and they are checked in pieces.
+    Nodes of equal vectors can't be split. The size of each leaf is returned with the tree.
     """
     tree, sizes, done = Tree(), {0: n}, set()
     sample = matrix(pa.array([r.unit for r in units.orderBy(F.xxhash64("vec_id")).limit(SEED_SAMPLE).collect()], pa.binary())) if n > block_rows else None
@@ -112,20 +98,19 @@ def fit_tree(units: DataFrame, n: int, block_rows: int = BLOCK_ROWS, rounds: int
                         away = own @ w - b
                         for side in (False, True):
                             part = own[(away > 0) == side]
-                            t = total.setdefault((k, side), [0, 0, np.zeros(DIMENSION)])
+                            t = total.setdefault((k, side), [0, np.zeros(DIMENSION)])
                             t[0] += len(part)
-                            t[1] += int((np.abs(away[(away > 0) == side]) <= MARGIN).sum())
-                            t[2] = t[2] + part.sum(0, dtype=np.float64)
+                            t[1] = t[1] + part.sum(0, dtype=np.float64)
                 if total:
-                    yield pa.RecordBatch.from_pydict({"node": [k for k, _ in total], "side": [s for _, s in total], "n": [t[0] for t in total.values()], "close": [t[1] for t in total.values()], "sum": pa.array([t[2].tolist() for t in total.values()], pa.list_(pa.float64()))})
+                    yield pa.RecordBatch.from_pydict({"node": [k for k, _ in total], "side": [s for _, s in total], "n": [t[0] for t in total.values()], "sum": pa.array([t[1].tolist() for t in total.values()], pa.list_(pa.float64()))})
 
-            parts = units.select("unit").mapInArrow(sums, "node long, side boolean, n long, close long, sum array<double>")
-            merged = parts.groupBy("node", "side").agg(F.sum("n").alias("n"), F.sum("close").alias("close"), F.array(*[F.sum(F.get("sum", F.lit(i))) for i in range(DIMENSION)]).alias("sum"))
-            stats = {(r.node, r.side): (r.n, r.close, np.array(r["sum"])) for r in merged.collect()}
-            centres = {k: (stats[k, False][2], stats[k, True][2]) if min(stats[k, False][0], stats[k, True][0]) else centres[k] for k in centres}
+            parts = units.select("unit").mapInArrow(sums, "node long, side boolean, n long, sum array<double>")
+            merged = parts.groupBy("node", "side").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("sum", F.lit(i))) for i in range(DIMENSION)]).alias("sum"))
+            stats = {(r.node, r.side): (r.n, np.array(r["sum"])) for r in merged.collect()}
+            centres = {k: (stats[k, False][1], stats[k, True][1]) if min(stats[k, False][0], stats[k, True][0]) else centres[k] for k in centres}
         for k in centres:
-            (n0, close0, s0), (n1, close1, s1) = stats[k, False], stats[k, True]
-            if min(n0, n1) == 0 or close0 + close1 > 0.6 * (n0 + n1):
+            (n0, s0), (n1, s1) = stats[k, False], stats[k, True]
+            if min(n0, n1) == 0:
                 done.add(k)
                 continue
             l, r = tree.split(k, *_plane(s0, s1))
@@ -171,82 +156,139 @@ def bisect(x: np.ndarray, similarity: float) -> np.ndarray:
     return leaf
 
 
-def neighbourhoods(x: np.ndarray, ids: np.ndarray, home: int, similarity: float) -> pd.DataFrame:
-    """Of the first ``home`` rows: leaf, and number, least id and sum of hashes of all rows similar to each.
-
-    A leaf meets only rows that its centre and radius can't rule out.
-    """
-    leaf = bisect(x[:home], similarity) if home else np.zeros(0, int)
-    order = np.argsort(leaf, kind="stable")
-    bounds = np.flatnonzero(np.r_[True, np.diff(leaf[order]) > 0, True]) if home else np.zeros(1, int)
-    centres = np.stack([x[order[a:b]].sum(0) for a, b in zip(bounds, bounds[1:])]) if home else np.zeros((0, x.shape[1]), np.float32)
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-    angle = math.acos(similarity)
+def neighbourhoods(x: np.ndarray, ids: np.ndarray, home: int, similarity: float) -> pa.Table:
+    """Of the first ``home`` rows: number, least id and sum of hashes of all rows similar to each."""
     hashes = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.float64)
     degree, least, mark = np.zeros(home, np.int64), np.zeros(home, np.int64), np.zeros(home)
     step = max(1, 8_000_000 // max(1, len(x)))
-    for first in range(0, len(centres), step):
-        near = centres[first : first + step] @ x.T
-        for k in range(len(near)):
-            rows = order[bounds[first + k] : bounds[first + k + 1]]
-            radius = math.acos(min(1.0, float((x[rows] @ centres[first + k]).min())))
-            may = np.flatnonzero(near[k] >= math.cos(min(math.pi, angle + radius + 1e-3)))
-            for part in range(0, len(rows), max(1, 8_000_000 // max(1, len(may)))):
-                own = rows[part : part + max(1, 8_000_000 // max(1, len(may)))]
-                r, c = np.nonzero(x[own] @ x[may].T >= similarity)
-                degree[own] = np.bincount(r, minlength=len(own))
-                mark[own] = np.bincount(r, weights=hashes[may[c]], minlength=len(own))
-                low = np.full(len(own), np.iinfo(np.int64).max)
-                np.minimum.at(low, r, ids[may[c]])
-                least[own] = low
-    return pd.DataFrame({"vec_id": ids[:home], "leaf": leaf, "degree": degree, "least": least, "mark": mark})
+    for a in range(0, home, step):
+        b = min(home, a + step)
+        r, c = np.nonzero(x[a:b] @ x.T >= similarity)
+        degree[a:b] = np.bincount(r, minlength=b - a)
+        mark[a:b] = np.bincount(r, weights=hashes[c], minlength=b - a)
+        low = np.full(b - a, np.iinfo(np.int64).max)
+        np.minimum.at(low, r, ids[c])
+        least[a:b] = low
+    return pa.table({"vec_id": ids[:home], "degree": degree, "least": least, "mark": mark})
+
+
+def _unpacked(t: pa.Table, column: str = "unit") -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.float32).reshape(-1, DIMENSION)
+
+
+def grow_leaves(units: DataFrame, scratch: Scratch, similarity: float, block_rows: int) -> DataFrame:
+    """vec_id, unit, leaf, size, centre: bisecting k-means over all vectors.
+
+    Blocks are split over the cluster, each block inside a task until all pairs of a leaf are similar. A leaf is named
+    by its least vec_id; size and centre stand in the row of that vec_id. A node that can't be split and is larger than
+    a block is handled in pieces.
+    """
+    tree, sizes = fit_tree(units, units.count(), block_rows)
+    pieces = {k: -(-m // block_rows) for k, m in sizes.items() if m > block_rows}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, at = batch.column(0).to_numpy(), tree.place(matrix(batch.column(1)))
+                many = np.array([pieces.get(k, 1) for k in at.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids % many), batch.column(0), batch.column(1)], ["block", "piece", "vec_id", "unit"])
+
+    def split(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, x = t.column("vec_id").to_numpy(), _unpacked(t)
+        number = bisect(x, similarity)
+        order = np.lexsort((ids, number))
+        first = np.r_[True, np.diff(number[order]) > 0]
+        group = np.cumsum(first) - 1
+        names = ids[order][first]
+        sums = np.add.reduceat(x[order], np.flatnonzero(first), axis=0)
+        sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        counts = np.bincount(group)
+        centre = [sums[g].tobytes() if f else None for g, f in zip(group.tolist(), first.tolist())]
+        return pa.table({"vec_id": ids[order], "unit": t.column("unit").take(pa.array(order)), "leaf": names[group], "size": pa.array(np.where(first, counts[group], 0)), "centre": pa.array(centre, pa.binary())})
+
+    dealt = units.mapInArrow(deal, "block long, piece long, vec_id long, unit binary")
+    return scratch.write(dealt.groupBy("block", "piece").applyInArrow(split, "vec_id long, unit binary, leaf long, size long, centre binary"))
+
+
+def touching_leaves(leaves: DataFrame, scratch: Scratch, cell_rows: int = 8192) -> DataFrame:
+    """node, group: leaves that may have similar vectors, linked directly or over others; leaves without link are left out.
+
+    Each leaf is put under the pivots nearest to its centre, and the centres under one pivot are compared. A leaf gets
+    one link to the least leaf that it reaches there, not one to every similar leaf, so links are as many as leaves.
+    Pivots are leaf centres, bounded in number; under a pivot of very many leaves these are compared in pieces, each
+    against all.
+    """
+    own = leaves.where("size > 0").select("leaf", "centre")
+    n = own.count()
+    pivots = matrix(pa.array([r.centre for r in own.orderBy(F.xxhash64("leaf")).limit(max(16, min(PIVOTS, n // 256))).collect()], pa.binary()))
+    probes = min(PROBES, len(pivots))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argpartition(-(matrix(batch.column(1)) @ pivots.T), probes - 1, axis=1)[:, :probes]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), probes))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], ["pivot", "leaf", "centre"])
+
+    def link(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        ids, x = t.column("leaf").to_numpy(), _unpacked(t, "centre")
+        rows = np.flatnonzero(home)
+        step = max(1, 8_000_000 // max(1, len(x)))
+        src, dst = [], []
+        for a in range(0, len(rows), step):
+            at = rows[a : a + step]
+            near = x[at] @ x.T >= CENTRE_SIMILARITY
+            low = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(1)
+            far = low < ids[at]
+            src.append(ids[at][far])
+            dst.append(low[far])
+        return pa.table({"src": np.concatenate(src or [ids[:0]]), "dst": np.concatenate(dst or [ids[:0]])})
+
+    dealt = scratch.write(own.mapInArrow(deal, "pivot long, leaf long, centre binary"))
+    counts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("pieces"))
+    spread = dealt.join(counts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), (F.pmod("leaf", "pieces")).alias("own"), "leaf", "centre")
+    cells = spread.select("pivot", "piece", (F.col("own") == F.col("piece")).alias("home"), "leaf", "centre")
+    links = scratch.write(cells.groupBy("pivot", "piece").applyInArrow(link, "src long, dst long").distinct())
+    return link_groups(links)
 
 
 def similarity_clusters(vectors: DataFrame, similarity: float = 0.85, least_size: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, cluster_id, leaf of all vectors in sets of mutually similar vectors that no outside vector is similar to.
 
-    ``vectors`` has vec_id (unique) and vector, all usable. Bisecting k-means splits the vectors over the cluster into
-    blocks and inside each block into leaves whose vectors are all similar. A plane may cut a cluster, so a block also
-    sees the vectors near its planes, and each vector's similar vectors are described by their number, smallest id and
-    hash sum: vectors that share this description and are as many as it says form a cluster, whether they fill one leaf
-    or several. No pairs are written. A node that is too compact to be split and larger than a block is handled in
-    pieces, each against the whole node. An empty table gives no rows; copies are ordinary similar vectors.
+    ``vectors`` has vec_id (unique) and vector, all usable. Bisecting k-means splits the vectors until all pairs of a
+    leaf are similar. A leaf that no other touches is a cluster if it is large enough. A plane may have cut a cluster,
+    and a leaf may have similar vectors outside: leaves that touch are checked exactly. Each of their vectors is
+    described by the number, least id and hash sum of the vectors similar to it; vectors that share this description
+    and are as many as it says form a cluster. No pairs are written, and a large group of leaves is checked in pieces,
+    each against the group. An empty table gives no rows; copies are ordinary similar vectors.
     """
     scratch = Scratch(vectors.sparkSession, "clusters")
     units = scratch.write(packed(vectors, "vec_id", "vector"))
-    n = units.count()
-    tree, sizes = fit_tree(units, n, block_rows)
-    pieces = {k: max(1, -(-m // block_rows)) for k, m in sizes.items()}
+    leaves = grow_leaves(units, scratch, similarity, block_rows)
+    if leaves.isEmpty():
+        return leaves.select("vec_id", F.col("leaf").alias("cluster_id"), "leaf")
+    groups = scratch.write(touching_leaves(leaves, scratch).withColumnRenamed("node", "leaf"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
-            own = tree.place(x)
-            rows, leaves = tree.reach(x, MARGIN)
-            many = np.array([pieces[k] for k in leaves.tolist()])
-            rows, leaves, many = np.repeat(rows, many), np.repeat(leaves, many), np.repeat(many, many)
-            piece = np.arange(len(rows)) - np.maximum.accumulate(np.where(np.r_[True, np.diff(rows) != 0] | np.r_[True, np.diff(leaves) != 0], np.arange(len(rows)), 0)) if len(rows) else rows
-            home = (own[rows] == leaves) & (ids[rows] % many == piece)
-            for a in range(0, len(rows), 20_000):
-                s = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves[s]), pa.array(piece[s]), pa.array(home[s]), pa.array(ids[rows[s]]), batch.column(1).take(pa.array(rows[s]))], ["block", "piece", "home", "vec_id", "unit"])
-
-    def solve(key: tuple, t: pa.Table) -> pa.Table:
+    alone = leaves.join(groups, "leaf", "left_anti")
+    sizes = alone.where(F.col("size") >= least_size).select("leaf")
+    single = alone.select("vec_id", "leaf").join(sizes, "leaf").select("vec_id", F.col("leaf").alias("cluster_id"), "leaf")
+
+    def solve(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        order = np.argsort(~home, kind="stable")
-        ids = t.column("vec_id").to_numpy()[order]
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float32).reshape(-1, DIMENSION)[order]
-        out = neighbourhoods(x, ids, int(home.sum()), similarity)
-        out["leaf"] = [f"{key[0].as_py()}.{key[1].as_py()}.{v}" for v in out["leaf"]]
-        return pa.Table.from_pandas(out, preserve_index=False)
-
-    dealt = units.mapInArrow(deal, "block long, piece long, home boolean, vec_id long, unit binary")
-    solved = scratch.write(dealt.groupBy("block", "piece").applyInArrow(solve, "vec_id long, leaf string, degree long, least long, mark double"))
+        order = np.argsort(~t.column("home").to_numpy(zero_copy_only=False), kind="stable")
+        return neighbourhoods(_unpacked(t)[order], t.column("vec_id").to_numpy()[order], int(t.column("home").to_numpy(zero_copy_only=False).sum()), similarity)
+
+    rows = scratch.write(leaves.select("vec_id", "unit", "leaf").join(groups, "leaf"))
+    pieces = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("pieces"))
+    spread = rows.join(pieces, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.pmod("vec_id", "pieces").alias("own"), "vec_id", "unit")
+    cells = spread.select("group", "piece", (F.col("own") == F.col("piece")).alias("home"), "vec_id", "unit")
+    solved = scratch.write(cells.groupBy("group", "piece").applyInArrow(solve, "vec_id long, degree long, least long, mark double"))
     whole = solved.where(F.col("degree") >= least_size).groupBy("least", "degree", "mark").agg(F.count(F.lit(1)).alias("n")).where("n = degree")
-    return solved.join(whole, ["least", "degree", "mark"]).select("vec_id", F.col("least").alias("cluster_id"), "leaf")
+    checked = solved.join(whole, ["least", "degree", "mark"]).join(rows.select("vec_id", "leaf"), "vec_id").select("vec_id", F.col("least").alias("cluster_id"), "leaf")
+    return single.unionByName(checked)
 
 
 def describe(clusters: DataFrame, vectors: DataFrame, members: int = 5) -> DataFrame:
