@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -238,7 +239,7 @@ class Field:
         were not recognised. Everything else is labelled other.
         """
         known = _lexicon(texts)
-        rows: list[list[int]] = []
+        rows = array("i")
         labels, left, right, far = [], [], [], []
         for text in texts:
             taken = resolve(fixed_forms(text))
@@ -266,7 +267,7 @@ class Field:
             seen: dict[str, int] = {}
             for i, w in enumerate(ws):
                 if run[i] >= 0:
-                    rows.append([_bucket(f) for f in lexical(w.low) + contextual(text, ws, i, gaps)])
+                    rows.extend(_bucket(f) for f in lexical(w.low) + contextual(text, ws, i, gaps))
                     labels.append(y[i])
                     left.append(gaps[i - 1] * 3 + y[i - 1] if i else BREAK * 3)
                     right.append(gaps[i] * 3 + y[i + 1] if i + 1 < len(ws) else BREAK * 3)
@@ -274,7 +275,7 @@ class Field:
                 seen[w.low] = i
         if not rows:
             return self
-        x, y = np.array(rows), np.array(labels)
+        x, y = np.frombuffer(rows, np.int32).reshape(len(labels), -1), np.array(labels)
         left, right, far = np.array(left), np.array(right), np.array(far)
         grad2, chain2, skip2 = np.full_like(self.weights, 1e-2), np.full_like(self.chain, 1.0), np.full_like(self.skip, 1.0)
         rng = np.random.default_rng(seed)
