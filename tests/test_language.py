@@ -212,3 +212,15 @@ def test_components_of_random_graphs(spark):
     assert {r.id: r.root for r in found.collect()} == dict(enumerate(root))
 
 
+
+
+def test_shortest_path_between_known_pairs(graph):
+    q = "MATCH (a:Person), (b:Person) WHERE a.name < 'c' MATCH p = shortestPath((a)-[:KNOWS*..5]->(b)) RETURN a.name AS a, b.name AS b, length(p) AS n ORDER BY a, b"
+    assert ask(graph, q) == [("alice", "bob", 1), ("alice", "carol", 2), ("alice", "dave", 3), ("bob", "alice", 2), ("bob", "carol", 1), ("bob", "dave", 2)]
+
+
+def test_command_line_parses(capsys):
+    from weft.__main__ import main
+
+    assert main(["parse", "MATCH (n) RETURN n"]) == 0
+    assert "Match" in capsys.readouterr().out

@@ -27,7 +27,8 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float, tracked: int | None
     sketch = coded.agg(F.count(F.lit(1)).alias("__n"), F.call_function("approx_top_k", F.col("__code"), F.lit(wanted), F.lit(tracked)).alias("__top"))
     top = sketch.select("__n", F.explode("__top").alias("__t")).select("__n", F.col("__t.item").alias("__code"))
     counted = coded.join(F.broadcast(top), "__code").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.first("__n").alias("__n"))
-    return counted.where(F.col("n_rows") >= share * F.col("__n")).select(*keys, "n_rows", (F.col("n_rows") / F.col("__n")).alias("row_share"))
+    # the allowance is for rounding: a key of exactly the share counts
+    return counted.where(F.col("n_rows") >= share * F.col("__n") - 1e-9).select(*keys, "n_rows", (F.col("n_rows") / F.col("__n")).alias("row_share"))
 
 
 def per_key(df: DataFrame, keys: list[str], distinct: list[str], share: float = 0.005, salts: int = 64, extra: dict[str, Column] | None = None) -> DataFrame:

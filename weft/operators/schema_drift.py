@@ -86,7 +86,7 @@ class DriftReport:
         rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(-i))])
         kinds = self.headers().groupBy("ns", "version", "field_name", "kind").agg(F.sum("n").alias("n"))
         folded = kinds.groupBy("ns", "version", "field_name").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", rank[F.col("kind")])).alias("kind"))
-        return folded.join(self.rows, ["ns", "version"]).where(F.col("n") >= self.presence * F.col("rows")).select("ns", "version", "field_name", "kind")
+        return folded.join(self.rows, ["ns", "version"]).where(F.col("n") >= self.presence * F.col("rows") - 1e-9).select("ns", "version", "field_name", "kind")
 
     def changes(self) -> DataFrame:
         """ns, schema_version, field_name, change_kind, old_name, old_type, new_type."""

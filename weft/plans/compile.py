@@ -74,7 +74,8 @@ class Compiler:
         return out.distinct() if q.dedupe else out
 
     def output(self, f: Frame) -> DataFrame:
-        return f.df.select(*[V.whole(v).alias(name) for name, v in f.scope.items() if not name.startswith("#")])
+        out = {name: V.whole(v) if v.type != "null" else F.lit(None).cast("string") for name, v in f.scope.items() if not name.startswith("#")}
+        return f.df.select(*[c.alias(name) for name, c in out.items()])
 
     def study(self, q: Any) -> None:
         """Which properties of which variables are used anywhere; None for all of them."""

@@ -58,7 +58,7 @@ trade("scan_count", "MATCH (o:Order) RETURN count(o) AS n", "SELECT count(*) AS
 trade("edge_type_count", "MATCH ()-[r:PLACED]->() RETURN count(r) AS n", "SELECT count(*) AS n FROM orders")
 trade("ordered_prefix", "MATCH (p:Part) RETURN p.key AS key, p.price AS price ORDER BY p.price DESC, p.key LIMIT 10", "SELECT p_partkey AS key, p_retailprice AS price FROM part ORDER BY price DESC, key LIMIT 10")
 trade("scan_predicates", "MATCH (c:Customer) WHERE c.balance >= 0 AND c.balance <= 100 AND c.segment <> 'BUILDING' AND c.name IS NOT NULL AND NOT c.name STARTS WITH 'X' RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal BETWEEN 0 AND 100 AND c_mktsegment <> 'BUILDING'")
-trade("missing_property", "MATCH (r:Region) RETURN r.name AS name, r.nothing AS nothing, r.nothing IS NULL AS gone", "SELECT r_name AS name, NULL AS nothing, true AS gone FROM region")
+trade("missing_property", "MATCH (r:Region) RETURN r.name AS name, r.nothing AS nothing, r.nothing IS NULL AS gone", "SELECT r_name AS name, NULL::VARCHAR AS nothing, true AS gone FROM region")
 
 # --- patterns
 
@@ -172,7 +172,7 @@ trade(
 trade("conversions", "UNWIND ['3', '3.7', 'x', 'TRUE'] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f, toBoolean(s) AS b, toString(3.0) AS whole", "SELECT s, CASE WHEN s = '3' THEN 3 END::BIGINT AS i, CASE s WHEN '3' THEN 3.0 WHEN '3.7' THEN 3.7 END::DOUBLE AS f, CASE WHEN s = 'TRUE' THEN true END AS b, '3' AS whole FROM (VALUES ('3'), ('3.7'), ('x'), ('TRUE')) v(s)")
 trade("list_functions", "WITH [3, 1, 2] AS l RETURN size(l) AS n, head(l) AS h, last(l) AS e, tail(l) AS t, reverse(l) AS r, l[0] AS a, l[-1] AS b, l[9] AS c, l[1..] AS d, l[..-1] AS f, l + [4] AS g, range(3, 1) AS none, range(5, 1, -2) AS down", "SELECT 3::BIGINT AS n, 3::BIGINT AS h, 2::BIGINT AS e, [1, 2]::BIGINT[] AS t, [2, 1, 3]::BIGINT[] AS r, 3::BIGINT AS a, 2::BIGINT AS b, NULL::BIGINT AS c, [1, 2]::BIGINT[] AS d, [3, 1]::BIGINT[] AS f, [3, 1, 2, 4]::BIGINT[] AS g, []::BIGINT[] AS none, [5, 3, 1]::BIGINT[] AS down")
 trade("list_comprehension", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, collect(n.key) AS ks RETURN r.name AS region, size([x IN ks WHERE x % 2 = 0 | x * 10]) AS even, all(x IN ks WHERE x >= 0) AS every, any(x IN ks WHERE x > 23) AS some, none(x IN ks WHERE x > 99) AS no, single(x IN ks WHERE x = 0) AS one", "SELECT r_name AS region, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS even, true AS every, bool_or(n_nationkey > 23) AS some, true AS no, count(*) FILTER (WHERE n_nationkey = 0) = 1 AS one FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-trade("map_values", "WITH {a: 1, b: 'x'} AS m RETURN m.a AS a, m['b'] AS b, m.c AS c, size(keys(m)) AS n", "SELECT 1::BIGINT AS a, 'x' AS b, NULL AS c, 2::BIGINT AS n")
+trade("map_values", "WITH {a: 1, b: 'x'} AS m RETURN m.a AS a, m['b'] AS b, m.c AS c, size(keys(m)) AS n", "SELECT 1::BIGINT AS a, 'x' AS b, NULL::VARCHAR AS c, 2::BIGINT AS n")
 trade("entity_functions", "MATCH (n:Nation {key: 3})-[k:IN_REGION]->(r) RETURN labels(n) AS l, type(k) AS t, keys(n) AS ks, properties(n).name AS name, startNode(k) = n AS s, id(n) = elementId(n) AS same", "SELECT ['Nation'] AS l, 'IN_REGION' AS t, ['key', 'name'] AS ks, n_name AS name, true AS s, true AS same FROM nation WHERE n_nationkey = 3")
 trade("dates", "MATCH (o:Order) WHERE o.date >= datetime('1995-01-01T00:00:00Z') AND o.date < datetime('1995-02-01T00:00:00Z') RETURN count(*) AS n, date('2024-02-29') AS day", "SELECT count(*) AS n, DATE '2024-02-29' AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'")
 trade("vector_functions", "WITH [1.0, 2.0, 2.0] AS a, [2.0, 0.0, 1.0] AS b RETURN dot_product(a, b) AS dot, cosine_similarity(a, b) AS cos, euclidean_distance(a, b) AS far, cosine_similarity(a, [0.0, 0.0, 0.0]) AS none", "SELECT 4.0::DOUBLE AS dot, round(4.0 / (3 * sqrt(5)), 9) AS cos, round(sqrt(6), 9) AS far, NULL::DOUBLE AS none", rounded={"cos": 9, "far": 9})
