@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weft.storage import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
+#: Sources that a mixture may have; the driver keeps a few numbers of each and they are sent to every task.
+MAX_SOURCES = 10_000
 
 
 def source_key(c: Column) -> Column:
@@ -64,7 +66,9 @@ class Mixture:
             F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
         )
         counted = count_tokens(documents, tokenizers).withColumn("source", source_key(F.col("source")))
-        wanted = F.broadcast(self.targets.where("target_share > 0 AND max_repeats > 0"))  # as many rows as targets
+        if self.targets.count() > MAX_SOURCES:
+            raise ValueError(f"a mixture of more than {MAX_SOURCES} sources")
+        wanted = F.broadcast(self.targets.where("target_share > 0 AND max_repeats > 0"))  # checked: at most MAX_SOURCES rows
         self.rows = scratch.write(counted.join(wanted, F.col("source") == F.col("source_name")).where("tokens > 0").select("doc_id", "source_name", "tokens", "max_repeats"))
         self.lengths: dict[str, float] = {}
         self.pieces: dict[str, int] = {}
