@@ -85,3 +85,20 @@ def test_empty(spark):
 def test_very_repetitive_text_is_linear(field):
     text = "Marit Galdquist " * 3000
     assert P.find(text, field)
+
+
+def test_candidates_exclude_and_support_each_other():
+    f = P.Field()
+    assert f.spans("00 549 843 333") == [(0, 14, "national_id")]
+    text = "SSN 123456789 is on file.\nLater 123456789 was read again."
+    alone = P.Field()
+    alone.span_skip = 0.0
+    assert [a for a, _, _ in alone.spans(text)] == [4]
+    f.span_skip = 8.0
+    assert [a for a, _, _ in f.spans(text)] == [4, 32]
+
+
+def test_context_is_learned_for_candidates():
+    f = P.Field()
+    f.fit_spans([f"Call ({n}) 555-0{n} when it stops." for n in range(200, 400)])
+    assert f.spans("Call (646) 555-0125 when it stops.") == [(5, 19, "phone")]

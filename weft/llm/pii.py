@@ -119,7 +119,7 @@ def gap(text: str, a: Word, b: Word) -> int:
 
 
 def fixed_forms(text: str) -> list[tuple[int, int, str, float]]:
-    """Candidates (start, end, kind, log-odds) of the kinds with a fixed writing; they may overlap."""
+    """Candidates (start, end, kind, prior log-odds) of the kinds with a fixed writing; they may overlap, and may be none."""
     out = []
     if "@" in text or "at" in text or "AT" in text or "＠" in text:
         out += [(*m.span(), "email", 6.0) for m in EMAIL.finditer(text)]
@@ -158,6 +158,24 @@ def contextual(text: str, ws: list[Word], i: int, gaps: list[int]) -> list[str]:
     return [f"shape={w.shape}", f"l={left},{w.shape}", f"r={right},{w.shape}", f"b={before}", f"bb={two} {before}", f"a={after}", f"m={mark}", f"line={first}{last}{w.shape}"]
 
 
+def span_context(text: str, a: int, b: int, kind: str) -> list[str]:
+    """What a candidate looks like and what stands around it."""
+    before = _CONTEXT.findall(text, max(0, a - 40), a)[-2:]
+    after = _CONTEXT.search(text, b, b + 24)
+    form = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", text[a : min(b, a + 24)]))
+    one = before[-1].lower() if before else "|"
+    return [f"{kind}", f"{kind} form={form}", f"{kind} b={one}", f"{kind} bb={' '.join(before).lower()}", f"{kind} a={after.group().lower() if after else '|'}"]
+
+
+_CONTEXT = re.compile(r"[^\W\d_]+|[=:@/#<\"']")
+_PLAIN = re.compile(r"[\W_]+")
+
+
+def _same(text: str, a: int, b: int, kind: str) -> tuple[str, str]:
+    """Two candidates with this in common are the same thing, however they are written."""
+    return kind, _PLAIN.sub("", text[a:b]).lower()
+
+
 #: Words after which a person is named, in the languages of the corpus; they give the first examples to train on.
 BYLINES = re.compile(
     r"(?:\bsigned-off-by:|\breported by|\bthanks to|\bassigned to|\bowner:|\bauthor:|\bcc|\bi asked|\bwritten by|\bfirmado:|\bresponsable:|\bverantwortlich:|\bgemeldet von|\bcomunicó|\bpregunté a|\bich habe)[  ]+(?:(?:dr|mr|mrs|ms|prof|sra?|frau|herr)\.?[  ]+)?"
@@ -219,17 +237,21 @@ def _lexicon(texts: list[str], rounds: int = 3) -> dict[str, int]:
 
 
 class Field:
-    """A skip-chain field over the words of a text with the labels other, first name (or initial) and surname.
+    """A skip-chain field over a text's words and the candidates of fixed writing.
 
-    Unary potentials come from the word's form and context, chain potentials join neighbours by their separator, and
-    skip potentials join repeated words, each occurrence with the next one. Weights are fitted by pseudo-likelihood:
-    each word's label given the labels of the words it is joined with.
+    A word is other, first name (or initial) or surname. Unary potentials come from its form and context, chain
+    potentials join neighbours by their separator, and skip potentials join repeated words, each occurrence with the
+    next one. A candidate (an address, a number, ...) is of its kind or not: its unary potential is the prior of its
+    form and what its context adds, candidates that overlap exclude each other, and skip potentials join those that say
+    the same. Weights are fitted by pseudo-likelihood: each label given the labels that it is joined with.
     """
 
     def __init__(self) -> None:
         self.weights = np.zeros((BUCKETS, 3), np.float32)
         self.chain = np.zeros((4, 3, 3), np.float32)
         self.skip = np.zeros((3, 3), np.float32)
+        self.span_weights = np.zeros(BUCKETS, np.float32)
+        self.span_skip = 0.5
         self.cache: dict[str, np.ndarray] = {}
 
     def fit(self, texts: list[str], epochs: int = 6, seed: int = 7) -> "Field":
@@ -238,6 +260,7 @@ class Field:
         Runs of at least two such words are names; single ones are left out, since they may be parts of names that
         were not recognised. Everything else is labelled other.
         """
+        self.fit_spans(texts)
         known = _lexicon(texts)
         rows = array("i")
         labels, left, right, far = [], [], [], []
@@ -308,6 +331,72 @@ class Field:
         self.skip = (self.skip + self.skip.T) / 2
         return self
 
+    def fit_spans(self, texts: list[str], epochs: int = 8) -> None:
+        """Fit what the context of candidates adds, on the labels that the priors alone would give."""
+        rows, prior, labels, twin = [], [], [], []
+        for text in texts:
+            found = fixed_forms(text)
+            on = set(resolve(found))
+            seen: dict[tuple[str, str], float] = {}
+            for a, b, kind, score in found:
+                y = (a, b, kind) in on
+                rows.append([_bucket(f) for f in span_context(text, a, b, kind)])
+                prior.append(score)
+                labels.append(y)
+                same = _same(text, a, b, kind)
+                twin.append(seen.get(same, 0.0))
+                seen[same] = 1.0 if y else -1.0
+        if not rows:
+            return
+        x, prior, y, twin = np.array(rows), np.array(prior), np.array(labels, float), np.array(twin)
+        grad2, skip2 = np.full(BUCKETS, 1.0, np.float32), 1.0
+        for _ in range(epochs):
+            for part in np.array_split(np.arange(len(y)), max(1, len(y) // 256)):
+                z = prior[part] + self.span_weights[x[part]].sum(1) + self.span_skip * twin[part]
+                g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
+                hit, inverse = np.unique(x[part], return_inverse=True)
+                gh = np.bincount(inverse.ravel(), np.repeat(g, x.shape[1]), len(hit)) + 1e-2 * self.span_weights[hit]
+                grad2[hit] += gh * gh
+                self.span_weights[hit] -= (0.1 * gh / np.sqrt(grad2[hit])).astype(np.float32)
+                gs = float((g * twin[part]).sum())
+                skip2 += gs * gs
+                self.span_skip = max(0.0, self.span_skip - 0.1 * gs / skip2**0.5)
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """The likeliest candidates together, by loopy message passing (max-product)."""
+        found = sorted(fixed_forms(text))
+        if not found:
+            return []
+        unary = np.array([s + self.span_weights[[_bucket(f) for f in span_context(text, a, b, k)]].sum() + 1e-3 * (b - a) for a, b, k, s in found])
+        frm, to, twins = [], [], []
+        last: dict[tuple[str, str], int] = {}
+        open_: list[int] = []
+        for j, (a, b, k, _) in enumerate(found):
+            open_ = [i for i in open_ if found[i][1] > a]
+            for i in open_:
+                frm.append(i), to.append(j), twins.append(False)
+            open_.append(j)
+            same = _same(text, a, b, k)
+            if same in last and last[same] not in open_[:-1]:
+                frm.append(last[same]), to.append(j), twins.append(True)
+            last[same] = j
+        belief = unary
+        if frm:
+            f, t, w = np.r_[frm, to], np.r_[to, frm], np.r_[twins, twins]
+            back = np.r_[np.arange(len(frm)) + len(frm), np.arange(len(frm))]
+            messages = np.zeros(len(f))
+            for _ in range(20):
+                belief = unary + np.bincount(t, messages, len(unary))
+                h = belief[f] - messages[back]
+                agree = np.maximum(self.span_skip + h, 0.0) - np.maximum(h, self.span_skip)
+                new = np.where(w, agree, -np.maximum(h, 0.0))
+                change = np.abs(new - messages).max()
+                messages = 0.7 * new + 0.3 * messages
+                if change < 1e-3:
+                    break
+            belief = unary + np.bincount(t, messages, len(unary))
+        return resolve([(a, b, k, float(s)) for (a, b, k, _), s in zip(found, belief)])
+
     def _form(self, low: str) -> np.ndarray:
         got = self.cache.get(low)
         if got is None:
@@ -413,7 +502,7 @@ def names(text: str, ws: list[Word], labels: list[int]) -> list[tuple[int, int]]
 
 def find(text: str, field: Field) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text, in order and without overlap."""
-    fixed = resolve(fixed_forms(text))
+    fixed = field.spans(text)
     ws = words(text, [(a, b) for a, b, _ in fixed])
     labels = field.label(text, ws)
     return sorted(fixed + [(a, b, "name") for a, b in names(text, ws, labels)])
@@ -433,20 +522,23 @@ def fit_field(documents: DataFrame, texts: int = TRAIN_TEXTS) -> Field:
 def _with_field(documents: DataFrame, field: Field | None):
     field = field or fit_field(documents)
     hit = np.flatnonzero(np.abs(field.weights).max(1) > 0)
-    return documents.sparkSession.sparkContext.broadcast((hit, field.weights[hit], field.chain, field.skip))
+    spans = np.flatnonzero(field.span_weights)
+    return documents.sparkSession.sparkContext.broadcast((hit, field.weights[hit], field.chain, field.skip, spans, field.span_weights[spans], field.span_skip))
 
 
 def _unpack(parts: tuple) -> Field:
     field = Field()
     field.weights[parts[0]] = parts[1]
     field.chain, field.skip = parts[2], parts[3]
+    field.span_weights[parts[4]] = parts[5]
+    field.span_skip = parts[6]
     return field
 
 
 def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, pii_kind, pii_text, each once per document: what stands in the whole texts.
 
-    Emails, numbers and addresses have a fixed writing; names are labelled by the field, in one pass without a shuffle.
+    The field labels words and candidates of each text, in one pass without a shuffle.
     Null and empty texts give no rows. Documents keep their id as it is, null too.
     """
     model = _with_field(documents, field)
