@@ -131,3 +131,15 @@ def test_the_rest_does_without_the_optional_part():
 
     code = "import sys; sys.modules['weft.' + 'llm'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_vault_helpers(spark, rows):
+    from weft.sources.vault import backlinks, orphans, vault_diff
+
+    notes = spark.createDataFrame(NOTES, "vault string, path string, text string")
+    g = vault_graph(notes)
+    assert rows(backlinks(g, "v/two.md")) == [("v/a/one.md", "LINKS_TO")]
+    assert rows(orphans(g)) == [("v/empty.md",)]
+    new = spark.createDataFrame([("v", "two.md", "changed"), ("v", "empty.md", ""), ("v", "new.md", "x"), ("w", "two.md", "[[one]]")], notes.schema)
+    assert rows(vault_diff(notes, new)) == [("v", "a/one.md", "removed"), ("v", "new.md", "added"), ("v", "two.md", "changed")]
+    assert vault_diff(notes, notes).count() == 0 and vault_diff(notes.limit(0), notes.limit(0)).count() == 0

@@ -150,3 +150,28 @@ def hash_embedding(texts: DataFrame, key: str, text: str, dimension: int = 256)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], [key, "embedding"])
 
     return texts.select(key, text).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<float>")
+
+
+def vault_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """vault, path, change (added, changed, removed) between two states of notes (vault, path, text).
+
+    Null and empty texts are the same; of repeated paths the greatest text counts.
+    """
+    one = lambda df, c: df.where("path IS NOT NULL").groupBy(F.coalesce("vault", F.lit("")).alias("vault"), "path").agg(F.md5(F.max(F.coalesce("text", F.lit("")))).alias(c))
+    both = one(old, "was").join(one(new, "is"), ["vault", "path"], "full_outer")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
+    return both.select("vault", "path", change.alias("change")).where(F.col("change").isNotNull())
+
+
+def backlinks(g: Catalog, note: str) -> DataFrame:
+    """Notes that link to or embed a note, by its id."""
+    from weft.session import GraphSession
+
+    return GraphSession(g.spark, g).cypher("MATCH (a:Note)-[r:LINKS_TO|EMBEDS]->(b:Note) WHERE id(b) = $n RETURN id(a) AS note, type(r) AS type", {"n": note})
+
+
+def orphans(g: Catalog) -> DataFrame:
+    """Notes without any link, in either direction."""
+    from weft.session import GraphSession
+
+    return GraphSession(g.spark, g).cypher("MATCH (n:Note) WHERE NOT n.placeholder AND NOT (n)-[:LINKS_TO|EMBEDS]-() RETURN id(n) AS note")
