@@ -57,6 +57,31 @@ def test_chains_and_near_misses_are_no_clusters(spark):
     assert got == brute(range(len(x)), x) == {5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 10: 8, 11: 8}
 
 
+def arc(degrees):
+    a = np.radians(degrees)
+    return np.stack([np.cos(a), np.sin(a)], 1) @ np.eye(64)[:2]
+
+
+def test_a_leaf_is_linked_to_every_leaf_it_touches(spark):
+    # leaf 8 touches leaf 1 and leaf 4, and 4 touches no smaller one: {4, 5, 6} is no cluster, since 9 is similar to 4
+    ids, x = [1, 2, 8, 9, 4, 5, 6], arc([0, 15, 30, 46, 65, 80, 95])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<double>")
+    got = {r.vec_id: r.cluster_id for r in C.similarity_clusters(df).collect()}
+    assert got == brute(ids, x) == {}
+
+
+def test_parts_of_random_pairs():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, (2, 200))
+    parent = np.arange(300)
+    for i in range(0, 200, 50):  # as blocks of pairs come in
+        C.join_parts(parent, a[i : i + 50], b[i : i + 50])
+    want = np.arange(300)
+    while (new := np.minimum.reduce([want] + [np.where(np.arange(300) == p, want[q], want) for i, j in zip(a, b) for p, q in ((i, j), (j, i))])).tolist() != want.tolist():
+        want = new
+    assert parent.tolist() == want.tolist()
+
+
 def test_one_compact_cluster_larger_than_blocks(spark):
     x = planted(4, [400], spread=0.1, loose=20)
     got = {r.vec_id: r.cluster_id for r in C.similarity_clusters(frame(spark, x), block_rows=50).collect()}

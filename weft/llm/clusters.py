@@ -172,6 +172,20 @@ def neighbourhoods(x: np.ndarray, ids: np.ndarray, home: int, similarity: float)
     return pa.table({"vec_id": ids[:home], "degree": degree, "least": least, "mark": mark})
 
 
+def join_parts(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union-find over the pairs a[i], b[i], in place; afterwards parent[x] is the least vertex of the part of x.
+
+    A root is hung under the least root it is paired with; its other pairs stay unequal and are met in the next round.
+    """
+    while len(a):
+        a, b = parent[a], parent[b]
+        far = a != b
+        a, b = a[far], b[far]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def _unpacked(t: pa.Table, column: str = "unit") -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), np.float32).reshape(-1, DIMENSION)
 
@@ -214,8 +228,9 @@ def grow_leaves(units: DataFrame, scratch: Scratch, similarity: float, block_row
 def touching_leaves(leaves: DataFrame, scratch: Scratch, cell_rows: int = 8192) -> DataFrame:
     """node, group: leaves that may have similar vectors, linked directly or over others; leaves without link are left out.
 
-    Each leaf is put under the pivots nearest to its centre, and the centres under one pivot are compared. A leaf gets
-    one link to the least leaf that it reaches there, not one to every similar leaf, so links are as many as leaves.
+    Each leaf is put under the pivots nearest to its centre, and the centres under one pivot are compared. Over all near
+    pairs found there the leaves are joined inside the task, and a leaf gets one link to the least leaf of its part, so
+    links are at most as many as leaves, and no near pair is lost.
     Pivots are leaf centres, bounded in number; under a pivot of very many leaves these are compared in pieces, each
     against all.
     """
@@ -236,16 +251,13 @@ def touching_leaves(leaves: DataFrame, scratch: Scratch, cell_rows: int = 8192)
         home = t.column("home").to_numpy(zero_copy_only=False)
         ids, x = t.column("leaf").to_numpy(), _unpacked(t, "centre")
         rows = np.flatnonzero(home)
-        step = max(1, 8_000_000 // max(1, len(x)))
-        src, dst = [], []
+        step = max(1, 4_000_000 // max(1, len(x)))
+        parent = np.arange(len(x))
         for a in range(0, len(rows), step):
-            at = rows[a : a + step]
-            near = x[at] @ x.T >= CENTRE_SIMILARITY
-            low = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(1)
-            far = low < ids[at]
-            src.append(ids[at][far])
-            dst.append(low[far])
-        return pa.table({"src": np.concatenate(src or [ids[:0]]), "dst": np.concatenate(dst or [ids[:0]])})
+            r, c = np.nonzero(x[rows[a : a + step]] @ x.T >= CENTRE_SIMILARITY)
+            join_parts(parent, rows[a + r], c)
+        far = np.flatnonzero(parent != np.arange(len(x)))
+        return pa.table({"src": ids[far], "dst": ids[parent[far]]})
 
     dealt = scratch.write(own.mapInArrow(deal, "pivot long, leaf long, centre binary"))
     counts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("pieces"))
