@@ -70,6 +70,27 @@ def test_a_leaf_is_linked_to_every_leaf_it_touches(spark):
     assert got == brute(ids, x) == {}
 
 
+def test_a_vector_that_links_two_clusters(spark):
+    # the leaves are {1, 2, 3, 7} and {4, 5, 6}, their centres far apart, and 7 is similar to all
+    ids, x = [1, 2, 3, 4, 5, 6, 7], arc([0, 0, 0, 56, 56, 56, 28])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<double>")
+    assert C.similarity_clusters(df).count() == len(brute(ids, x)) == 0
+
+
+@pytest.mark.parametrize("cell", [C.CELL_ROWS, 6])
+def test_linked_clusters_over_many_pivots_equal_brute_force(spark, cell):
+    rng = np.random.default_rng(5)
+    parts = [planted(6, [4, 30, 8], loose=20)]
+    for degrees in rng.uniform(40, 63, 12):  # two clusters and a vector between them, in a plane of their own
+        plane = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        a = np.radians(np.r_[rng.uniform(-2, 2, 4), degrees + rng.uniform(-2, 2, 4), degrees / 2])
+        parts.append(np.stack([np.cos(a), np.sin(a)], 1) @ plane)
+    x = np.concatenate(parts)
+    x = x[rng.permutation(len(x))]
+    got = {r.vec_id: r.cluster_id for r in C.similarity_clusters(frame(spark, x), block_rows=40, cell_rows=cell).collect()}
+    assert got == brute(range(len(x)), x) and len(got) >= 42
+
+
 def test_parts_of_random_pairs():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 300, (2, 200))

@@ -18,11 +18,10 @@ from weft.storage import Scratch
 BLOCK_ROWS = 24_000
 #: Vectors from which the first two centres of each node are taken; all later steps use all vectors.
 SEED_SAMPLE = 8192
-#: Leaves whose centres are this similar are compared by their vectors. Vectors of two leaves are similar (0.85) only if
-#: their centres are, but for the part of their spread that lies in one common direction, one of 64.
-CENTRE_SIMILARITY = 0.7
-#: Leaf centres that serve as pivots at most, and the nearest pivots under which a leaf is looked for.
-PIVOTS, PROBES = 4096, 8
+#: Leaves under one pivot, about, and leaf centres that serve as pivots at most.
+CELL_ROWS, PIVOTS = 16_384, 1024
+#: Radians by which a bound on angles is widened, for single precision.
+SLACK = 1e-3
 
 
 @dataclass
@@ -191,11 +190,11 @@ def _unpacked(t: pa.Table, column: str = "unit") -> np.ndarray:
 
 
 def grow_leaves(units: DataFrame, scratch: Scratch, similarity: float, block_rows: int) -> DataFrame:
-    """vec_id, unit, leaf, size, centre: bisecting k-means over all vectors.
+    """vec_id, unit, leaf, size, centre, radius: bisecting k-means over all vectors.
 
     Blocks are split over the cluster, each block inside a task until all pairs of a leaf are similar. A leaf is named
-    by its least vec_id; size and centre stand in the row of that vec_id. A node that can't be split and is larger than
-    a block is handled in pieces.
+    by its least vec_id; size, centre and radius (the greatest angle to the centre) stand in the row of that vec_id. A
+    node that can't be split and is larger than a block is handled in pieces.
     """
     tree, sizes = fit_tree(units, units.count(), block_rows)
     pieces = {k: -(-m // block_rows) for k, m in sizes.items() if m > block_rows}
@@ -217,57 +216,91 @@ def grow_leaves(units: DataFrame, scratch: Scratch, similarity: float, block_row
         names = ids[order][first]
         sums = np.add.reduceat(x[order], np.flatnonzero(first), axis=0)
         sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        angles = np.arccos(np.clip(np.einsum("ij,ij->i", x[order], sums[group], dtype=np.float64), -1, 1))
+        radius = np.maximum.reduceat(angles, np.flatnonzero(first))[group]
         counts = np.bincount(group)
         centre = [sums[g].tobytes() if f else None for g, f in zip(group.tolist(), first.tolist())]
-        return pa.table({"vec_id": ids[order], "unit": t.column("unit").take(pa.array(order)), "leaf": names[group], "size": pa.array(np.where(first, counts[group], 0)), "centre": pa.array(centre, pa.binary())})
+        return pa.table({"vec_id": ids[order], "unit": t.column("unit").take(pa.array(order)), "leaf": names[group], "size": pa.array(np.where(first, counts[group], 0)), "centre": pa.array(centre, pa.binary()), "radius": pa.array(np.where(first, radius, 0))})
 
     dealt = units.mapInArrow(deal, "block long, piece long, vec_id long, unit binary")
-    return scratch.write(dealt.groupBy("block", "piece").applyInArrow(split, "vec_id long, unit binary, leaf long, size long, centre binary"))
+    return scratch.write(dealt.groupBy("block", "piece").applyInArrow(split, "vec_id long, unit binary, leaf long, size long, centre binary, radius double"))
 
 
-def touching_leaves(leaves: DataFrame, scratch: Scratch, cell_rows: int = 8192) -> DataFrame:
+def touching_leaves(leaves: DataFrame, scratch: Scratch, similarity: float, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """node, group: leaves that may have similar vectors, linked directly or over others; leaves without link are left out.
 
-    Each leaf is put under the pivots nearest to its centre, and the centres under one pivot are compared. Over all near
-    pairs found there the leaves are joined inside the task, and a leaf gets one link to the least leaf of its part, so
-    links are at most as many as leaves, and no near pair is lost.
-    Pivots are leaf centres, bounded in number; under a pivot of very many leaves these are compared in pieces, each
-    against all.
+    A vector similar to one of a leaf is within the leaf's radius and the angle of ``similarity`` of its centre. All
+    vectors are compared with all centres by this bound, but where a pivot rules it out by the same bound: a leaf
+    belongs to the nearest pivot, whose reach holds all vectors of its leaves. Pivots are leaf centres. Of two pivots
+    the vectors of one are compared with the centres of the other. Each task joins leaves over all pairs it finds and
+    gives one link from each leaf to the least leaf of its part, so links are as many as leaves and tasks. Vectors and
+    leaves of a full pivot are dealt over pieces.
     """
-    own = leaves.where("size > 0").select("leaf", "centre")
+    own = leaves.where("size > 0").select("leaf", "centre", "radius", "size")
     n = own.count()
-    pivots = matrix(pa.array([r.centre for r in own.orderBy(F.xxhash64("leaf")).limit(max(16, min(PIVOTS, n // 256))).collect()], pa.binary()))
-    probes = min(PROBES, len(pivots))
+    pivots = matrix(pa.array([r.centre for r in own.orderBy(F.xxhash64("leaf")).limit(min(PIVOTS, -(-n // cell_rows))).collect()], pa.binary()))
+    theta = math.acos(similarity) + SLACK
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argpartition(-(matrix(batch.column(1)) @ pivots.T), probes - 1, axis=1)[:, :probes]
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], ["pivot", "leaf", "centre"])
+                near = matrix(batch.column(1)) @ pivots.T
+                reach = np.arccos(np.clip(near.max(1).astype(np.float64), -1, 1)) + batch.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.argmax(1)), pa.array(reach)], ["leaf", "centre", "radius", "size", "pivot", "reach"])
+
+    placed = scratch.write(own.mapInArrow(home, "leaf long, centre binary, radius double, size long, pivot long, reach double"))
+    reach, many, shares = np.zeros(len(pivots)), np.ones(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+    for r in placed.groupBy("pivot").agg(F.max("reach").alias("reach"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("leaves")).collect():
+        reach[r.pivot], many[r.pivot], shares[r.pivot] = r.reach + SLACK, -(-r.n // block_rows), -(-r.leaves // (2 * cell_rows))
+
+    def dealt(x: np.ndarray, at: np.ndarray, number: np.ndarray, radius: np.ndarray, leaf: bool) -> tuple[np.ndarray, list[pa.Array]]:
+        """Row numbers and the cells to which they go: (pivot and piece of vectors, pivot and piece of leaves)."""
+        k = np.arange(len(pivots))
+        rest = k <= at[:, None] if leaf else k >= at[:, None]
+        row, other = np.nonzero(rest & (x @ pivots.T >= np.cos(np.minimum(reach + radius[:, None] + theta, math.pi))))
+        mine, theirs = (shares, many) if leaf else (many, shares)
+        copies = theirs[other]
+        piece = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        row, other = np.repeat(row, copies), np.repeat(other, copies)
+        cell = [at[row], number[row] % mine[at[row]]], [other, piece]
+        return row, [pa.array(c) for side in (cell[::-1] if leaf else cell) for c in side]
+
+    def deal_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                row, cell = dealt(matrix(part.column(2)), part.column(3).to_numpy(), part.column(0).to_numpy(), np.zeros(part.num_rows), False)
+                yield pa.RecordBatch.from_arrays([*cell, part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row))], ["p", "i", "q", "j", "leaf", "unit"])
 
-    def link(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        ids, x = t.column("leaf").to_numpy(), _unpacked(t, "centre")
-        rows = np.flatnonzero(home)
-        step = max(1, 4_000_000 // max(1, len(x)))
-        parent = np.arange(len(x))
-        for a in range(0, len(rows), step):
-            r, c = np.nonzero(x[rows[a : a + step]] @ x.T >= CENTRE_SIMILARITY)
-            join_parts(parent, rows[a + r], c)
-        far = np.flatnonzero(parent != np.arange(len(x)))
+    def deal_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                row, cell = dealt(matrix(part.column(1)), part.column(3).to_numpy(), part.column(0).to_numpy(), part.column(2).to_numpy(), True)
+                yield pa.RecordBatch.from_arrays([*cell, *[part.column(c).take(pa.array(row)) for c in (0, 1, 2)]], ["p", "i", "q", "j", "leaf", "centre", "radius"])
+
+    def link(vectors: pa.Table, centres: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not centres.num_rows:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+        x, c = _unpacked(vectors), _unpacked(centres, "centre")
+        ids, at = np.unique(np.concatenate([vectors.column("leaf").to_numpy(), centres.column("leaf").to_numpy()]), return_inverse=True)
+        to = at[len(x) :]
+        least = np.cos(np.minimum(centres.column("radius").to_numpy() + theta, math.pi)).astype(np.float32)
+        parent = np.arange(len(ids))
+        step = max(1, 4_000_000 // len(c))
+        for a in range(0, len(x), step):
+            row, col = np.nonzero(x[a : a + step] @ c.T >= least)
+            join_parts(parent, at[a + row], to[col])
+        far = np.flatnonzero(parent != np.arange(len(ids)))
         return pa.table({"src": ids[far], "dst": ids[parent[far]]})
 
-    dealt = scratch.write(own.mapInArrow(deal, "pivot long, leaf long, centre binary"))
-    counts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("pieces"))
-    spread = dealt.join(counts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), (F.pmod("leaf", "pieces")).alias("own"), "leaf", "centre")
-    cells = spread.select("pivot", "piece", (F.col("own") == F.col("piece")).alias("home"), "leaf", "centre")
-    links = scratch.write(cells.groupBy("pivot", "piece").applyInArrow(link, "src long, dst long").distinct())
+    key = ["p", "i", "q", "j"]
+    vectors = leaves.select("vec_id", "leaf", "unit").join(placed.select("leaf", "pivot"), "leaf").select("vec_id", "leaf", "unit", "pivot")
+    left = vectors.mapInArrow(deal_vectors, "p long, i long, q long, j long, leaf long, unit binary")
+    right = placed.select("leaf", "centre", "radius", "pivot").mapInArrow(deal_leaves, "p long, i long, q long, j long, leaf long, centre binary, radius double")
+    links = scratch.write(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(link, "src long, dst long").distinct())
     return link_groups(links)
 
 
-def similarity_clusters(vectors: DataFrame, similarity: float = 0.85, least_size: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, similarity: float = 0.85, least_size: int = 3, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """vec_id, cluster_id, leaf of all vectors in sets of mutually similar vectors that no outside vector is similar to.
 
     ``vectors`` has vec_id (unique) and vector, all usable. Bisecting k-means splits the vectors until all pairs of a
@@ -282,7 +315,7 @@ def similarity_clusters(vectors: DataFrame, similarity: float = 0.85, least_size
     leaves = grow_leaves(units, scratch, similarity, block_rows)
     if leaves.isEmpty():
         return leaves.select("vec_id", F.col("leaf").alias("cluster_id"), "leaf")
-    groups = scratch.write(touching_leaves(leaves, scratch).withColumnRenamed("node", "leaf"))
+    groups = scratch.write(touching_leaves(leaves, scratch, similarity, block_rows, cell_rows).withColumnRenamed("node", "leaf"))
 
     alone = leaves.join(groups, "leaf", "left_anti")
     sizes = alone.where(F.col("size") >= least_size).select("leaf")
