@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import distinct as D
+from weft.llm import distinct as D, queries as Q
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 37, 1000, 60_000])
@@ -40,3 +40,16 @@ def test_nulls_and_nothing(spark):
     got = {r.g: r.estimate for r in D.estimates(D.observe(df.select("g", "value"), ["g"], "value"), ["g"]).collect()}
     assert got == {None: 1}
     assert D.estimates(D.observe(df.limit(0).select("g", "value"), ["g"], "value"), ["g"]).count() == 0
+
+
+def test_every_combination_is_counted(spark, tmp_path):
+    data = [(s, e, f"{s}{e}{i % (s + 3)}".zfill(32), f"{i}".zfill(32), f"2024-01-0{d}") for s in (1, 2) for e in "AB" for d in (1, 2) for i in range(9)]
+    df = spark.createDataFrame(data, "sst_id long, edge_type string, src string, dst string, at string").selectExpr("*", "timestamp(at) AS arrived_at")
+    df.write.parquet(f"{tmp_path}/rels.parquet")
+    keys = ["sst_id", "day", "edge_type"]
+    got = {(r.sst_id, str(r.day), r.edge_type, r.prop_name): r.estimate for r in Q.p5_distinct(spark, str(tmp_path)).dropna(subset=keys).collect()}
+    want = {}
+    for s, e, src, dst, day in data:
+        for p, v in (("src", src), ("dst", dst)):
+            want.setdefault((s, day, e, p), set()).add(v)
+    assert got == {k: len(v) for k, v in want.items()} and len(got) == 16

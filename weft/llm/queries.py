@@ -60,7 +60,7 @@ def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     parts = distinct.observe(_ends(spark, d), ["sst_id", "day", "edge_type", "prop_name"], "node_id")
     # grouping sets over sketches of bounded size: the ids themselves are read once
     cube = parts.groupingSets(
-        [[F.col(c) for c in s] + [F.col("prop_name"), F.col("reg")] for s in (["sst_id"], ["day"], ["edge_type"], ["sst_id", "day"], ["sst_id", "edge_type"], ["day", "edge_type"], [])],
+        [[F.col(c) for c in s] + [F.col("prop_name"), F.col("reg")] for s in (["sst_id"], ["day"], ["edge_type"], ["sst_id", "day"], ["sst_id", "edge_type"], ["day", "edge_type"], ["sst_id", "day", "edge_type"], [])],
         "sst_id", "day", "edge_type", "prop_name", "reg",
     ).agg(F.bit_or("ranks").alias("ranks"), F.grouping_id().alias("level"))
     return distinct.estimates(cube, ["level", "sst_id", "day", "edge_type", "prop_name"]).drop("level")
