@@ -121,6 +121,21 @@ def test_rare_fields_are_no_fields(spark):
     assert changes(drift(spark, data)) == []
 
 
+def test_unified_keeps_sparse_and_stray_values(spark):
+    data = []
+    for i in range(40):
+        for v in (1, 2, 3):
+            old = f'"old": {i}' if v == 1 else f'"new": {i}'
+            sparse = ', "often": 2.5' if v == 2 and 20 <= i < 23 else ', "often": 1' if v != 2 and i < 10 else ""
+            odd = ', "new": "other"' if v == 1 and i == 7 else ', "once": true' if v == 2 and i == 8 else ""
+            data.append(("n", v, f"x{i}", "f", v * 100 + i, "{" + old + sparse + odd + "}"))
+    got = drift(spark, data).unified()
+    assert got.groupBy("field_name", "stray").count().sort("field_name", "stray").collect() == [("new", False, 40), ("new", True, 1), ("often", False, 13), ("once", True, 1)]
+    assert [tuple(r) for r in got.where("stray").select("node_id", "field_name", "value", "as_boolean").sort("node_id").collect()] == [("x7", "new", "other", None), ("x8", "once", "true", True)]
+    assert got.where("field_name = 'often' AND field_type = 'integer' AND NOT fits AND value = '2.5' AND as_integer IS NULL").count() == 3
+    assert got.where("field_name = 'often' AND fits AND as_integer = 1").count() == 10
+
+
 def test_promotion_is_a_lattice():
     kinds = [None, "boolean", "integer", "number", "string", "array", "object"]
     for a in kinds:

@@ -81,12 +81,16 @@ class DriftReport:
         """ns, version, prev (the version before that occurs, or null)."""
         return self.rows.withColumn("prev", F.lag("version").over(W.partitionBy("ns").orderBy("version")))
 
-    def version_fields(self) -> DataFrame:
-        """ns, version, field_name, kind of the fields that a version has."""
+    def held_fields(self) -> DataFrame:
+        """ns, version, field_name, kind, present of all fields that a version's rows hold; present if the version has it."""
         rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(-i))])
         kinds = self.headers().groupBy("ns", "version", "field_name", "kind").agg(F.sum("n").alias("n"))
         folded = kinds.groupBy("ns", "version", "field_name").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", rank[F.col("kind")])).alias("kind"))
-        return folded.join(self.rows, ["ns", "version"]).where(F.col("n") >= self.presence * F.col("rows") - 1e-9).select("ns", "version", "field_name", "kind")
+        return folded.join(self.rows, ["ns", "version"]).select("ns", "version", "field_name", "kind", (F.col("n") >= self.presence * F.col("rows") - 1e-9).alias("present"))
+
+    def version_fields(self) -> DataFrame:
+        """ns, version, field_name, kind of the fields that a version has."""
+        return self.held_fields().where("present").drop("present")
 
     def changes(self) -> DataFrame:
         """ns, schema_version, field_name, change_kind, old_name, old_type, new_type."""
@@ -124,14 +128,16 @@ class DriftReport:
         return told.select("ns", F.col("version").alias("schema_version"), "field_name", kind.alias("change_kind"), "old_name", "old_type", "new_type").where(F.col("change_kind").isNotNull())
 
     def unified(self) -> DataFrame:
-        """One table for all files: ns, node_id, field_name, field_type, value, lsn, with stable names and types.
+        """One table for all files: ns, node_id, field_name, field_type, value, fits, lsn, stray and the typed values.
 
-        A renamed field goes by its latest name and takes the least kind that holds all its versions' kinds; values
-        that can't be read as that kind stay as text in ``value`` with ``fits`` false. Of several rows of one node the
-        highest lsn counts, field by field.
+        A renamed field goes by its latest name and takes the least kind that holds all its versions' kinds. ``value``
+        is the text; as_boolean, as_integer or as_number has it in the field's kind, and values that can't be read as
+        that kind have ``fits`` false. A value of a field that its version hardly holds counts for the stable field of
+        that name. If there is none, or another field of the version goes by that name, it is ``stray`` and keeps its
+        own name. Of several rows of one node the highest lsn counts, field by field.
         """
         renames = self.changes().where("change_kind = 'renamed'").select("ns", F.col("schema_version").alias("at"), "old_name", F.col("field_name").alias("new_name"))
-        has = self.version_fields()
+        has = self.scratch.write(self.held_fields())
         names = has.select("ns", "version", "field_name").withColumn("stable", F.col("field_name"))
         hops = self.scratch.write(renames)
         for _ in range(int(hops.groupBy("ns").count().agg(F.max("count")).first()[0] or 0)):
@@ -142,17 +148,23 @@ class DriftReport:
                 names = new
                 break
             names = new
-        kinds = names.join(has, ["ns", "version", "field_name"]).groupBy("ns", "stable").agg(promoted(F.collect_set("kind")).alias("field_type"))
-        latest = self.entries.join(names, ["ns", "version", "field_name"]).groupBy("ns", "node_id", "stable").agg(F.max(F.struct("lsn", "version", "file", "value")).alias("v"))
-        out = latest.join(kinds, ["ns", "stable"])
-        value = F.col("v.value")
-        fits = (
-            F.when(F.col("field_type") == "boolean", F.lower(value).isin("true", "false"))
-            .when(F.col("field_type") == "integer", value.try_cast("decimal(38,0)").isNotNull())
-            .when(F.col("field_type") == "number", value.try_cast("double").isNotNull())
-            .otherwise(True)
-        )
-        return out.select("ns", "node_id", F.col("stable").alias("field_name"), "field_type", value.alias("value"), fits.alias("fits"), F.col("v.lsn").alias("lsn"))
+        known = names.join(has.where("present"), ["ns", "version", "field_name"]).select("ns", "stable").distinct().withColumn("known", F.lit(True))
+        first = W.partitionBy("ns", "version", "stable").orderBy(F.desc("present"), F.col("field_name") == F.col("stable"), "field_name")
+        ranked = names.join(has, ["ns", "version", "field_name"]).join(known, ["ns", "stable"], "left").withColumn("rank", F.row_number().over(first))
+        stray = F.col("known").isNull() | (F.col("rank") > 1)
+        names = self.scratch.write(ranked.select("ns", "version", "field_name", "kind", "present", stray.alias("stray"), F.when(stray, F.col("field_name")).otherwise(F.col("stable")).alias("stable")))
+        kinds = names.where("present OR stray").groupBy("ns", "stable", "stray").agg(promoted(F.collect_set("kind")).alias("field_type"))
+        named = self.entries.join(names.select("ns", "version", "field_name", "stable", "stray"), ["ns", "version", "field_name"])
+        latest = named.groupBy("ns", "node_id", "stable", "stray").agg(F.max(F.struct("lsn", "version", "file", "value")).alias("v"))
+        out = latest.join(kinds, ["ns", "stable", "stray"]).select("*", F.col("v.value").alias("value"), F.col("v.lsn").alias("lsn"))
+        value, kind = F.col("value"), F.col("field_type")
+        typed = {
+            "as_boolean": F.when((kind == "boolean") & F.lower(value).isin("true", "false"), F.lower(value) == "true"),
+            "as_integer": F.when((kind == "integer") & value.rlike(r"^[+-]?\d+(\.0*)?$"), value.try_cast("decimal(38,0)")),
+            "as_number": F.when(kind == "number", value.try_cast("double")),
+        }
+        fits = ~kind.isin("boolean", "integer", "number") | typed["as_boolean"].isNotNull() | typed["as_integer"].isNotNull() | typed["as_number"].isNotNull()
+        return out.select("ns", "node_id", F.col("stable").alias("field_name"), "field_type", "value", fits.alias("fits"), "lsn", "stray", *[c.alias(n) for n, c in typed.items()])
 
 
 def node_records(df: DataFrame) -> DataFrame:
