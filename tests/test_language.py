@@ -186,6 +186,25 @@ def test_algorithms(graph, spark):
     assert len(run("fastRP", ", dimension: 8")["1"][0]) == 8
 
 
+def social_tables(spark, path, label, kind, edges, n):
+    """graph_nodes and rels of n nodes of one label and the edges (a, b) of one type."""
+    name = lambda i: f"{i:032x}"
+    spark.createDataFrame([(name(i), label) for i in range(n)], "node_id string, label string").selectExpr("*", "'a' AS firstname", "'b' AS lastname", "1 AS age", "1L AS content_chars", "timestamp('2024-01-01') AS creationdate").write.parquet(f"{path}/graph_nodes.parquet")
+    spark.createDataFrame([(kind, name(a), name(b)) for a, b in edges], "edge_type string, src string, dst string").selectExpr("*", "timestamp('2024-01-01') AS since", "1.0D AS weight", "1L AS lsn", "false AS tombstone").write.parquet(f"{path}/rels.parquet")
+
+
+def test_registered_pagerank_runs_to_the_default_tolerance(spark, tmp_path):
+    from weft.queries_graph import QUERIES
+
+    n, edges = 6, [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
+    social_tables(spark, tmp_path, "Person", "KNOWS", edges, n)
+    want = [1 / n] * n
+    for _ in range(300):  # each vertex has one edge out
+        want = [0.15 / n + 0.85 * sum(want[a] for a, b in edges if b == i) for i in range(n)]
+    got = {int(r.id, 16): r.score for r in QUERIES["algo_pagerank"](spark, str(tmp_path)).collect()}
+    assert sum(abs(got[i] - want[i]) for i in range(n)) < 1e-5
+
+
 def test_betweenness_by_joins_is_the_same(graph, monkeypatch):
     from weft.algo import communities
 

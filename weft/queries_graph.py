@@ -198,7 +198,7 @@ reach AS (SELECT v, u FROM b UNION SELECT r.v, b.u FROM reach r JOIN b ON r.u =
 SELECT dense_rank() OVER (ORDER BY root) - 1 AS component, count(*) AS n FROM roots GROUP BY root""",
 )
 social("algo_scc", f"CALL algo.scc({_KNOWS}) YIELD node_id, component RETURN component, count(*) AS n")
-social("algo_pagerank", f"CALL algo.pagerank({{labels: ['Person'], edge_types: ['KNOWS'], tolerance: 0.001}}) YIELD node_id, score RETURN id(node_id) AS id, score")
+social("algo_pagerank", f"CALL algo.pagerank({{labels: ['Person'], edge_types: ['KNOWS']}}) YIELD node_id, score RETURN id(node_id) AS id, score")
 social(
     "algo_shortest_path",
     "CALL algo.shortest_path({edge_types: ['REPLY_OF'], source: $s}) YIELD node_id, distance, hops RETURN id(node_id) AS id, distance, hops",
