@@ -238,6 +238,27 @@ def test_shortest_path_between_known_pairs(graph):
     assert ask(graph, q) == [("alice", "bob", 1), ("alice", "carol", 2), ("alice", "dave", 3), ("bob", "alice", 2), ("bob", "carol", 1), ("bob", "dave", 2)]
 
 
+def test_whole_shortest_paths_equal_brute_force(spark, tmp_path):
+    from weft.queries_graph import QUERIES
+
+    n, edges = 9, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (4, 8), (8, 6), (7, 3)]
+    social_tables(spark, tmp_path, "Post", "LINKS_TO", edges, n)
+    pairs, paths = {}, {}
+    for a in range(n):
+        level, seen, hops = {a: 1}, {a}, 0
+        while level:
+            hops, new = hops + 1, {}
+            for x, y in edges:
+                if x in level and y not in seen:
+                    new[y] = new.get(y, 0) + level[x]
+            if new:
+                pairs[hops] = pairs.get(hops, 0) + len(new)
+                paths[hops] = paths.get(hops, 0) + sum(new.values())
+            level, seen = new, seen | set(new)
+    found = {q: {r.hops: r.n for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("shortest_path_whole", "all_shortest_paths_whole")}
+    assert found == {"shortest_path_whole": pairs, "all_shortest_paths_whole": paths} and max(pairs) > 4 and paths != pairs
+
+
 def test_command_line_parses(capsys):
     from weft.__main__ import main
 

@@ -122,6 +122,9 @@ f(s, v, d) AS (SELECT id, id, 0 FROM starts UNION SELECT s, dst, d + 1 FROM f JO
 social("shortest_path", "MATCH p = shortestPath((a:Post)-[:LINKS_TO*..3]->(b:Post)) RETURN length(p) AS hops, count(*) AS n", _BFS + " SELECT d::BIGINT AS hops, count(*) AS n FROM best JOIN nodes b ON v = b.id AND b.label = 'Post' WHERE d > 0 GROUP BY 1")
 social("all_shortest_paths", "MATCH p = allShortestPaths((a:Post)-[:LINKS_TO*..3]->(b:Post)) RETURN length(p) AS hops, count(*) AS n", _BFS + """, paths(s, v, d, n) AS (SELECT id, id, 0, 1::HUGEINT FROM starts UNION ALL SELECT p.s, k.dst, p.d + 1, p.n FROM paths p JOIN k ON p.v = k.src JOIN best ON best.s = p.s AND best.v = k.dst AND best.d = p.d + 1 WHERE p.d < 3)
 SELECT d::BIGINT AS hops, sum(n)::BIGINT AS n FROM paths JOIN nodes b ON v = b.id AND b.label = 'Post' WHERE d > 0 GROUP BY 1""")
+# the same searches without a bound on hops, which end when no path grows; the SQL of the two above ends at three
+social("shortest_path_whole", "MATCH p = shortestPath((a:Post)-[:LINKS_TO*]->(b:Post)) RETURN length(p) AS hops, count(*) AS n")
+social("all_shortest_paths_whole", "MATCH p = allShortestPaths((a:Post)-[:LINKS_TO*]->(b:Post)) RETURN length(p) AS hops, count(*) AS n")
 
 trade("shortest_path_pairs", "MATCH (a:Region {name: 'ASIA'}), (b:Customer) MATCH p = shortestPath((a)-[:IN_NATION|IN_REGION*..3]-(b)) RETURN b.key AS key, length(p) AS hops", "SELECT c_custkey AS key, 2::BIGINT AS hops FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 
