@@ -56,3 +56,24 @@ def test_empty_sides(spark):
     assert N.most_similar(none_b, frame(spark, "item_id", asked)).count() == 0
     assert N.most_similar(frame(spark, "vec_id", base), none_q).count() == 0
     assert N.most_similar(frame(spark, "vec_id", base[:1]), frame(spark, "item_id", base[:1])).count() == 1
+
+
+def test_the_graph_comes_from_the_rounds_not_from_its_random_links(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weft.storage import Scratch
+
+    base, _ = data(9, 120)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.astype(np.float16).tobytes())) for i, v in enumerate(unit)], "id long, unit binary")
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    best = {(i, int(j)) for i, r in enumerate(s) for j in np.argsort(-r)[:5] if r[j] >= 0.85}
+
+    def recall(rounds):
+        graph = N.build_graph(nodes, len(unit), Scratch(spark, "t"), rounds)
+        assert graph.groupBy("id").agg(F.count("nb").alias("n"), F.count_distinct("nb").alias("m")).where(f"n > {N.LINKS} OR n <> m").isEmpty()
+        got = {(r.id, r.nb) for r in graph.collect()}
+        return len(got & best) / len(best)
+
+    assert recall(0) < 0.7 and recall(64) >= 0.93

@@ -186,7 +186,7 @@ def join_parts(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _unpacked(t: pa.Table, column: str = "unit") -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.float32).reshape(-1, DIMENSION)
+    return matrix(t.column(column))
 
 
 def grow_leaves(units: DataFrame, scratch: Scratch, similarity: float, block_rows: int) -> DataFrame:

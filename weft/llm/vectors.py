@@ -27,10 +27,25 @@ def current_vectors(payloads: DataFrame, dimension: int = DIMENSION) -> DataFram
     return last.where(usable("vector", dimension))
 
 
-def matrix(column: pa.Array, dtype: str = "float32", dimension: int = DIMENSION) -> np.ndarray:
-    """Rows of packed bytes as a matrix."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype).reshape(-1, dimension)
+def matrix(column: pa.Array | pa.ChunkedArray, dtype: str = "float32", dimension: int = DIMENSION) -> np.ndarray:
+    """Rows of packed bytes as a matrix; a view of the column's own memory."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if not len(column):
+        return np.zeros((0, dimension), dtype)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype).reshape(-1, dimension)
+
+
+def as_bytes(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as packed bytes."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def listed(column: pa.Array, dimension: int = DIMENSION) -> np.ndarray:
+    """Rows of usable lists as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
 def packed(df: DataFrame, key: str, vector: str, dtype: str = "float32") -> DataFrame:
@@ -40,10 +55,10 @@ def packed(df: DataFrame, key: str, vector: str, dtype: str = "float32") -> Data
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
+            x = listed(batch.column(1))
             # by the greatest value first, so that no square overflows or vanishes
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(dtype)], pa.binary())], [key, "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_bytes(x.astype(dtype))], [key, "unit"])
 
     return df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(pack, f"{key} long, unit binary")
