@@ -9,7 +9,7 @@ from weft.llm import distinct as D, queries as Q
 def test_error(spark, n):
     df = spark.range(n).select(F.lit("g").alias("g"), F.concat(F.lit("v"), F.col("id")).alias("value"))
     df = df.unionByName(df.limit(500))  # repeated values change nothing
-    r = D.estimates(D.observe(df, ["g"], "value"), ["g"]).first()
+    r = D.count_distinct(df, ["g"], "value").first()
     assert abs(r.estimate - n) <= max(0.4, 4 * D.standard_error() * n)
     assert r.low <= r.estimate <= r.high
 
@@ -17,29 +17,45 @@ def test_error(spark, n):
 def test_many_sets_stay_within_the_stated_error(spark):
     df = spark.range(200_000).select((F.col("id") % 100).alias("g"), F.col("id").alias("value"))
     p = 8
-    off = np.array([r.estimate / 2000 - 1 for r in D.estimates(D.observe(df, ["g"], "value", p), ["g"], p).collect()])
+    off = np.array([r.estimate / 2000 - 1 for r in D.count_distinct(df, ["g"], "value", precision=p).collect()])
     assert len(off) == 100 and abs(off.mean()) < 0.01
     assert 0.7 * D.standard_error(p) < off.std() < 1.3 * D.standard_error(p)
 
 
 def test_merging_loses_nothing(spark, rows):
     df = spark.range(5000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 900).alias("value"))
-    whole = D.observe(df, ["b"], "value")
-    merged = D.merge(D.observe(df, ["a", "b"], "value"), ["b"])
-    assert rows(whole.select("b", "reg", "ranks")) == rows(merged.select("b", "reg", "ranks"))
+    whole = D.merge(D.observe(df.repartition(1), ["b"], "value"), ["b"])
+    merged = D.merge(D.observe(df.repartition(5), ["a", "b"], "value"), ["b"])
+    sets = D.merge(D.observe(df.repartition(5), ["a", "b"], "value", [["a"], ["b"]]), ["level", "a", "b"])
+    assert rows(whole) == rows(merged) == rows(sets.where("level = 1").select("b", "sketch"))
 
 
-def test_registers(spark):
+def test_registers_are_bytes():
     # ranks 5, 4 and 2 were met: greatest 5, the rank below met, the next not
-    df = spark.createDataFrame([("g", 0, 0b11010)], "g string, reg int, ranks long")
-    assert D.registers(df, ["g"]).first().state == 5 * 4 + 0b10
+    assert D.states(np.array([0b11010], np.uint64)).tolist() == [5 * 4 + 0b10]
+    some = np.array([1, 2, 3, 5, 6, 7, 1 << 52, 3 << 50], np.uint64)
+    assert (D.ranks(D.states(some)) == some).all()  # nothing lies below the indicated ranks
+    long = np.array([(1 << 52) | 1], np.uint64)
+    assert D.ranks(D.states(long)).tolist() == [1 << 52]
+    reg, state = np.arange(4096), np.full(4096, 9, np.uint8)
+    assert len(D.encode(reg, state)) == 4096 and len(D.encode(reg[:10], state[:10])) == 30
+    for k in (10, 4096):
+        back = D.decode(D.encode(reg[:k], state[:k]))
+        assert (back[0] == reg[:k]).all() and (back[1] == 9).all()
+
+
+def test_a_task_that_meets_very_many_groups_gives_parts(spark, rows, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 50).alias("g"), F.col("id").alias("value"))
+    want = rows(D.count_distinct(df, ["g"], "value"))
+    monkeypatch.setattr(D, "GROUPS", 7)
+    assert rows(D.count_distinct(df, ["g"], "value")) == want
 
 
 def test_nulls_and_nothing(spark):
-    df = spark.createDataFrame([(None, "x"), (None, None), ("h", None)], "g string, value string").withColumn("reg", F.lit("q")).withColumn("ranks", F.lit(1))
-    got = {r.g: r.estimate for r in D.estimates(D.observe(df.select("g", "value"), ["g"], "value"), ["g"]).collect()}
+    df = spark.createDataFrame([(None, "x"), (None, None), ("h", None)], "g string, value string").withColumn("sketch", F.lit("q")).withColumn("level", F.lit(1))
+    got = {r.g: r.estimate for r in D.count_distinct(df, ["g"], "value").collect()}
     assert got == {None: 1}
-    assert D.estimates(D.observe(df.limit(0).select("g", "value"), ["g"], "value"), ["g"]).count() == 0
+    assert D.count_distinct(df.limit(0), ["g"], "value").count() == 0
 
 
 def test_every_combination_is_counted(spark, tmp_path):

@@ -49,7 +49,7 @@ def _ends(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Stored estimates off by more than 15 percent, judged by the sketches' estimates."""
-    counted = distinct.estimates(distinct.observe(_ends(spark, d), ["sst_id", "prop_name"], "node_id"), ["sst_id", "prop_name"])
+    counted = distinct.count_distinct(_ends(spark, d), ["sst_id", "prop_name"], "node_id").drop("level")
     stored = table(spark, d, "property_stats").where("ndv_estimate IS NOT NULL").select("sst_id", F.lower(F.regexp_replace("prop_name", r"[\s\p{Z}]+", "")).alias("prop_name"), "ndv_estimate")
     off = stored.join(counted, ["sst_id", "prop_name"]).where(F.abs(F.col("ndv_estimate") - F.col("estimate")) > 0.15 * F.col("estimate"))
     return off.select("sst_id", "prop_name").distinct()
@@ -57,13 +57,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Distinct node ids per SST, day, edge type and their combinations, merged from one set of partial sketches."""
-    parts = distinct.observe(_ends(spark, d), ["sst_id", "day", "edge_type", "prop_name"], "node_id")
-    # grouping sets over sketches of bounded size: the ids themselves are read once
-    cube = parts.groupingSets(
-        [[F.col(c) for c in s] + [F.col("prop_name"), F.col("reg")] for s in (["sst_id"], ["day"], ["edge_type"], ["sst_id", "day"], ["sst_id", "edge_type"], ["day", "edge_type"], ["sst_id", "day", "edge_type"], [])],
-        "sst_id", "day", "edge_type", "prop_name", "reg",
-    ).agg(F.bit_or("ranks").alias("ranks"), F.grouping_id().alias("level"))
-    return distinct.estimates(cube, ["level", "sst_id", "day", "edge_type", "prop_name"]).drop("level")
+    sets = [["sst_id"], ["day"], ["edge_type"], ["sst_id", "day"], ["sst_id", "edge_type"], ["day", "edge_type"], ["sst_id", "day", "edge_type"], []]
+    return distinct.count_distinct(_ends(spark, d), ["sst_id", "day", "edge_type", "prop_name"], "node_id", [[*s, "prop_name"] for s in sets]).drop("level")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
