@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.ids import plain_entry_key, plain_id
-from weft.operators.changelog import ChangeLog, replay
+from weft.operators.changelog import ChangeLog, merge_sorted, replay
 from weft.operators.heavy_keys import heavy_keys, per_key
 from weft.operators.schema_drift import DriftReport, promote
 
@@ -64,6 +64,44 @@ def test_late_change_does_not_revive(spark):
     assert log.state().count() == 0
 
 
+def test_k_way_merge_of_sorted_runs():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    changes = [(f"k{rng.randrange(60)}é", seq) for seq in range(500)]
+    runs = []
+    for _ in range(7):
+        last = {}
+        for k, seq in rng.sample(changes, 200):
+            last[k] = max(seq, last.get(k, -1))
+        runs.append(sorted(last.items(), key=lambda r: r[0].encode()))
+    runs += [[], [("a", None)]]
+
+    def batches(run, size=9):
+        for a in range(0, len(run), size):
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in run[a : a + size]], pa.string()), "seq": pa.array([s for _, s in run[a : a + size]], pa.int64())})
+
+    got = [tuple(r.values()) for t in merge_sorted([batches(r) for r in runs], ["seq"]) for r in t.to_pylist()]
+    want = {"a": None}
+    for run in runs[:-1]:
+        for k, seq in run:
+            want[k] = max(seq, want.get(k, -1))
+    assert got == sorted(want.items(), key=lambda r: r[0].encode())
+
+
+def test_a_log_is_opened_again_from_its_manifest_and_purges_below_the_low_water_mark(spark):
+    one = "key string, op string, seq long"
+    log = ChangeLog(spark, [], fanout=3, buckets=2)
+    log.append(spark.createDataFrame([("a", "Upsert", 1), ("b", "Upsert", 2), ("c", "Tombstone", 3)], one))
+    log.append(spark.createDataFrame([("a", "Tombstone", 4), ("d", "Upsert", 8)], one))
+    again = ChangeLog(spark, [], fanout=3, root=log.scratch)
+    assert again.buckets == 2 and {r.key for r in again.state().collect()} == {"b", "d"}
+    again.compact(low_water=5)
+    assert {r.key for r in again.merged().collect()} == {"b", "d"}
+    again.append(spark.createDataFrame([("a", "Upsert", 2), ("c", "Upsert", 6)], one))
+    assert {r.key for r in ChangeLog(spark, [], root=log.scratch).state().collect()} == {"b", "c", "d"}
+
+
 def test_heavy_keys_and_results_per_key(spark, rows):
     data = [("K", "hot", i % 7) for i in range(400)] + [("K", None, 1)] * 100 + [("L", f"s{i}", i) for i in range(300)]
     df = spark.createDataFrame(data, "edge_type string, src string, dst long").withColumn("n_rows", F.lit(9)).withColumn("v", F.lit(2))

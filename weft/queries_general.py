@@ -14,7 +14,7 @@ from weft.sources.tables import table
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     log = replay(table(spark, d, "wal_entries"))
     log.compact()
-    return log.state().select(F.col("key").alias("entry_key"), F.col("seq").alias("lsn"))
+    return log.state(payload=False).select(F.col("key").alias("entry_key"), F.col("seq").alias("lsn"))
 
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     log = replay(table(spark, d, "wal_entries"))
     kind = F.split("key", ":")[0]
     live = operation(F.col("op")) == "upsert"
-    return log.merged().groupBy(kind.alias("entry_kind")).agg(
+    return log.merged(payload=False).groupBy(kind.alias("entry_kind")).agg(
         F.count_if(live).alias("n_live"), F.count_if(~F.coalesce(live, F.lit(False))).alias("n_gone"), F.min("seq").alias("first_lsn"), F.max("seq").alias("last_lsn")
     )
 
