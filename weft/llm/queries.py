@@ -87,6 +87,15 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"))
 
 
+_USABLE = "{0} IS NOT NULL AND len({0}) = 64 AND list_aggregate(list_transform({0}, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and') AND list_aggregate(list_transform({0}, lambda x: x <> 0), 'bool_or')"
+_CURRENT = f"""u AS (SELECT vec_id, vector FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY lsn DESC NULLS LAST, written_at DESC NULLS LAST, vector DESC NULLS LAST) AS rn FROM vector_payloads WHERE vec_id IS NOT NULL) WHERE rn = 1 AND {_USABLE.format('vector')}),
+v AS MATERIALIZED (SELECT vec_id, vector::DOUBLE[64] AS x FROM u)"""
+
+_WORDS = "regexp_extract_all(replace(lower(strip_accents({0})), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "SELECT {0}, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT {0}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {0}, {1} AS w FROM {2} WHERE {3} IS NOT NULL))"
+_LEAKS = f"""d AS ({_RUNS.format('doc_id', _WORDS.format('text'), 'documents', 'text')}), e AS ({_RUNS.format('eval_id', _WORDS.format('eval_text'), 'eval_items', 'eval_text')}),
+f AS (SELECT DISTINCT doc_id, eval_id FROM d JOIN e USING (run))"""
+
 _MATCHES = f"""m AS (SELECT src, dst FROM (SELECT {sql_id('src')} AS src, {sql_id('dst')} AS dst, tombstone, row_number() OVER (PARTITION BY {sql_id('src')}, {sql_id('dst')} ORDER BY lsn DESC NULLS LAST, coalesce(tombstone, false) DESC) AS rn FROM rels WHERE edge_type = 'SAME_AS' AND src IS NOT NULL AND dst IS NOT NULL) WHERE rn = 1 AND NOT coalesce(tombstone, false) AND src <> dst),
 e AS (SELECT src AS v, dst AS u FROM m UNION SELECT dst, src FROM m),
 reach AS (SELECT v, u FROM e UNION SELECT r.v, e.u FROM reach r JOIN e ON r.u = e.v)"""
@@ -101,6 +110,13 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": f"""WITH {_CURRENT}, near AS (SELECT a.vec_id, list_sort(list(b.vec_id)) AS mates FROM v a, v b WHERE array_cosine_similarity(a.x, b.x) >= 0.85 GROUP BY 1)
+SELECT vec_id, mates[1] AS cluster_id FROM near JOIN (SELECT mates FROM near GROUP BY mates HAVING count(*) = len(mates) AND len(mates) >= 3) USING (mates)""",
+    "p3_found": f"""WITH {_CURRENT}, q AS (SELECT DISTINCT item_id, embedding::DOUBLE[64] AS x FROM (SELECT * FROM data_items WHERE item_id IS NOT NULL AND {_USABLE.format('embedding')})),
+c AS (SELECT item_id, vec_id, max(array_cosine_similarity(q.x, v.x)) AS cosine FROM q, v GROUP BY 1, 2)
+SELECT item_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, vec_id) AS rn FROM c WHERE cosine >= 0.85) WHERE rn <= 5""",
+    "p8_found": f"WITH {_LEAKS} SELECT doc_id, eval_id FROM f",
+    "p8_items": f"WITH {_LEAKS} SELECT eval_id, count(*) AS n_documents, any_value(lang) AS lang, any_value(split_name) AS split_name FROM f JOIN eval_items USING (eval_id) GROUP BY 1",
     "p2_found": f"WITH RECURSIVE {_MATCHES} {_FOUND2}",
     "p2_sizes": f"WITH RECURSIVE {_MATCHES}, f AS ({_FOUND2}), s AS (SELECT group_id, count(*) AS n_nodes FROM f GROUP BY 1) SELECT n_nodes, count(*) AS n_groups FROM s GROUP BY 1",
     "p5_found": f"""WITH ends AS (SELECT sst_id, 'src' AS prop_name, {sql_id('src')} AS id FROM rels UNION ALL SELECT sst_id, 'dst', {sql_id('dst')} FROM rels),
