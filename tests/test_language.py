@@ -264,3 +264,22 @@ def test_command_line_parses(capsys):
 
     assert main(["parse", "MATCH (n) RETURN n"]) == 0
     assert "Match" in capsys.readouterr().out
+
+
+def test_floats_as_text_without_exponent(spark):
+    s = GraphSession(spark, Catalog(spark))
+    got = s.cypher("UNWIND [1e-20, 1e300, -2.5e17, 0.00012, 1.5, 3.0, -0.5, 123456789.125] AS x RETURN toString(x) AS t").collect()
+    assert [r.t for r in got] == ["0." + "0" * 19 + "1", "1" + "0" * 300, "-250000000000000000", "0.00012", "1.5", "3", "-0.5", "123456789.125"]
+
+
+def test_a_change_writes_only_the_tables_it_touches_and_rows_apply_in_order(spark):
+    g = Catalog(spark).register_nodes("A", spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), "k").register_nodes("B", spark.createDataFrame([("c", 3)], "k string, n int"), "k")
+    s = GraphSession(spark, g)
+    other = next(t.df for t in g.nodes if t.labels == {"B"})
+    s.cypher("MATCH (x:A) UNWIND [7, 9, 8] AS v SET x.v = v")
+    assert {r.v for r in s.cypher("MATCH (x:A) RETURN x.v AS v").collect()} == {8}
+    s.cypher("MATCH (x:A {n: 2}) DELETE x")
+    assert s.counters["nodes_deleted"] == 1
+    assert next(t.df for t in s.catalog.nodes if t.labels == {"B"}) is other
+    s.cypher("MATCH (x:A), (y:B) UNWIND [1, 2, 3] AS w CREATE (x)-[:R {w: w}]->(y)")
+    assert [r.w for r in s.cypher("MATCH ()-[r:R]->() RETURN r.w AS w").collect()] == [3]

@@ -47,36 +47,42 @@ def test_tokens():
     assert tokens("") == []
 
 
-def docs(spark):
-    data = [("a", "quantum physics lecture", [1.0, 0.0, 0.0], 1), ("b", "italian pasta recipe", [0.0, 1.0, 0.0], 2), ("g", "quantum pasta experiment", [0.7, 0.7, 0.0], 2), ("n", None, None, None), ("z", "", [0.0, 0.0, 0.0], 3)]
-    return GraphSession(spark, Catalog(spark).register_nodes("Doc", spark.createDataFrame(data, "k string, body string, emb array<float>, kind int"), "k"))
+def shelf(spark):
+    books = [
+        ("tide", "harbour tide tables for small boats", [0.0, 2.0, 1.0], 4),
+        ("loom", "repairing a wooden loom", [3.0, 0.0, -1.0], 5),
+        ("knot", "knots for boats and a loom", [1.0, 1.0, 0.0], 5),
+        ("void", None, None, None),
+        ("flat", "", [0.0, 0.0, 0.0], 6),
+    ]
+    return GraphSession(spark, Catalog(spark).register_nodes("Book", spark.createDataFrame(books, "k string, body string, emb array<float>, kind int"), "k"))
 
 
 def test_vector_search(spark):
-    s = docs(spark)
-    q = "CALL search.vector({label: 'Doc', property: 'emb', query: [1.0, 0.0, 0.0], k: 9%s}) YIELD node, score RETURN id(node) AS i"
-    assert [r.i for r in s.cypher(q % "").collect()] == ["a", "g", "b"]
-    assert [r.i for r in s.cypher(q % ", filter: {kind: 2}").collect()] == ["g", "b"]
-    assert [r.i for r in s.cypher(q % ", filter: {kind: {gt: 1, lte: 2}}").collect()] == ["g", "b"]
-    assert [r.i for r in s.cypher(q % ", metric: 'euclidean'").collect()] == ["a", "g", "z", "b"]
+    s = shelf(spark)
+    q = "CALL search.vector({label: 'Book', property: 'emb', query: [0.0, 1.0, 0.0], k: 9%s}) YIELD node, score RETURN id(node) AS i"
+    assert [r.i for r in s.cypher(q % "").collect()] == ["tide", "knot", "loom"]
+    assert [r.i for r in s.cypher(q % ", filter: {kind: 5}").collect()] == ["knot", "loom"]
+    assert [r.i for r in s.cypher(q % ", filter: {kind: {gt: 3, lte: 4}}").collect()] == ["tide"]
+    assert [r.i for r in s.cypher(q % ", metric: 'euclidean'").collect()][:2] == ["flat", "knot"]
     with pytest.raises(CypherError):
         s.cypher(q % ", filter: {}").collect()
 
 
 def test_text_search(spark):
-    s = docs(spark)
-    q = "CALL search.bm25({label: 'Doc', text_property: 'body', query: %r}) YIELD node, score RETURN id(node) AS i"
-    assert [r.i for r in s.cypher(q % "quantum pasta").collect()] == ["g", "a", "b"]
-    assert [r.i for r in s.cypher(q % '"pasta experiment"').collect()] == ["g"]
-    assert [r.i for r in s.cypher(q % "lect*").collect()] == ["a"]
-    assert s.cypher(q % "nowhere").count() == 0 and s.cypher(q % "").count() == 0
+    s = shelf(spark)
+    q = "CALL search.bm25({label: 'Book', text_property: 'body', query: %r}) YIELD node, score RETURN id(node) AS i"
+    assert [r.i for r in s.cypher(q % "boats loom").collect()] == ["knot", "loom", "tide"]
+    assert [r.i for r in s.cypher(q % '"small boats"').collect()] == ["tide"]
+    assert [r.i for r in s.cypher(q % "harb*").collect()] == ["tide"]
+    assert s.cypher(q % "anchor").count() == 0 and s.cypher(q % "").count() == 0
 
 
 def test_hybrid_search(spark):
-    s = docs(spark)
-    q = "CALL search.hybrid({label: 'Doc', text_property: 'body', query_text: 'quantum pasta', query_vector: [0.7, 0.7, 0.0], vector_property: 'emb', k: 2, fusion: '%s'}) YIELD node, score RETURN id(node) AS i, score"
-    assert s.cypher(q % "rrf").first().i == "g"
-    assert s.cypher(q % "linear").first() == ("g", 1.0)
+    s = shelf(spark)
+    q = "CALL search.hybrid({label: 'Book', text_property: 'body', query_text: 'boats loom', query_vector: [1.0, 1.0, 0.0], vector_property: 'emb', k: 2, fusion: '%s'}) YIELD node, score RETURN id(node) AS i, score"
+    assert s.cypher(q % "rrf").first().i == "knot"
+    assert s.cypher(q % "linear").first() == ("knot", 1.0)
 
 
 def test_quantised_vectors(spark):

@@ -242,10 +242,18 @@ def to_string(v: Value) -> Column:
     """Whole floats lose their fraction, booleans are true and false, dates are in ISO form."""
     if v.type == "float":
         c = v.col
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(F.isnan(c), "NaN").when(whole, c.cast("decimal(38,0)").cast("string")).when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(
-            F.when((F.abs(c) >= 1e15) & (F.abs(c) < 1e37), c.cast("decimal(38,0)").cast("string")).when((F.abs(c) < 1e-3), F.regexp_replace(F.format_string("%.17f", c), "0+$", "")).otherwise(c.cast("string"))
-        )
+        s = c.cast("string")
+        # the shortest digits that give the number back, without an exponent
+        power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+        digits = F.concat(F.regexp_extract(s, r"^-?(\d)\.", 1), F.regexp_replace(F.regexp_extract(s, r"\.(\d+)E", 1), "0+$", ""))
+        after = F.length(digits) - 1
+        large = F.when(power >= after, F.concat(digits, F.repeat(F.lit("0"), power - after))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        plain = F.concat(F.when(c < 0, "-").otherwise(""), F.when(power >= 0, large).otherwise(small))
+        return (
+            F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").when(c == 0, "0")
+            .when(s.contains("E"), plain).otherwise(F.regexp_replace(s, r"\.0$", ""))
+        )
     if v.type == "datetime":
         return F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return v.col.cast("string")

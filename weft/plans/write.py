@@ -71,6 +71,7 @@ class State:
     compiler: Compiler
     frame: Frame
     counts: dict[str, int]
+    order: str = ""  # the column that numbers the bound rows, of which later ones win
 
     @property
     def g(self) -> Catalog:
@@ -120,6 +121,9 @@ def settle(state: State) -> None:
     df = state.frame.df
     if not df.columns:
         df = df.select(F.lit(1).alias(state.compiler.fresh("u")))
+    if state.order not in df.columns:
+        state.order = state.compiler.fresh("o")
+        df = df.withColumn(state.order, F.monotonically_increasing_id())
     state.frame = Frame(state.compiler.scratch.write(df), state.frame.scope)
 
 
@@ -158,12 +162,13 @@ def add_nodes(state: State, labels: tuple, df: DataFrame) -> None:
 
 
 def add_edges(state: State, type_: str, df: DataFrame) -> None:
-    """Put edges (src, dst, properties) in place of those of the same ends."""
+    """Put edges (src, dst, properties) in place of those of the same ends; of several the last by ``__order`` counts."""
     g = state.g
-    df = df.dropDuplicates(["src", "dst"])
+    df = state.compiler.scratch.write(last_rows(df, ["src", "dst"], "__order"))
     same = [i for i, t in enumerate(g.edges) if t.type == type_]
     for i in same:
-        g.edges[i] = replace(g.edges[i], df=state.compiler.scratch.write(g.edges[i].df.join(df.select("src", "dst"), ["src", "dst"], "left_anti")))
+        if not g.edges[i].df.join(df, ["src", "dst"], "left_semi").isEmpty():
+            g.edges[i] = replace(g.edges[i], df=state.compiler.scratch.write(g.edges[i].df.join(df.select("src", "dst"), ["src", "dst"], "left_anti")))
     if same and g.edges[same[-1]].src_label is None:
         t = g.edges[same[-1]]
         g.edges[same[-1]] = replace(t, df=state.compiler.scratch.write(union([t.df, df])))
@@ -171,6 +176,13 @@ def add_edges(state: State, type_: str, df: DataFrame) -> None:
         g.edges.append(EdgeTable(type_, state.compiler.scratch.write(df)))
 
 
+def last_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of the rows of each key the last by ``order``, without it."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("__one"), *rest), F.col(order)).alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
+
+
 def given(state: State, n: A.NodePat | A.RelPat) -> dict[str, Value]:
     """Properties written in a pattern; null ones aren't stored."""
     k, f = state.compiler, state.frame
@@ -227,9 +239,10 @@ def create_edge(state: State, r: A.RelPat, a: Value, b: Value) -> None:
     prefix = k.fresh("r")
     cols = {f"{prefix}__type": F.lit(r.types[0]), f"{prefix}__src": V.part(a, "_id").col, f"{prefix}__dst": V.part(b, "_id").col} | {f"{prefix}__{p}": v.col for p, v in props.items()}
     df = k.scratch.write(state.frame.df.withColumns(cols))
-    edges = df.select(F.col(f"{prefix}__src").alias("src"), F.col(f"{prefix}__dst").alias("dst"), *[F.col(f"{prefix}__{p}").alias(p) for p in props]).where("src IS NOT NULL AND dst IS NOT NULL")
+    order = F.col(state.order) if state.order in df.columns else F.monotonically_increasing_id()
+    edges = df.select(F.col(f"{prefix}__src").alias("src"), F.col(f"{prefix}__dst").alias("dst"), *[F.col(f"{prefix}__{p}").alias(p) for p in props], order.alias("__order")).where("src IS NOT NULL AND dst IS NOT NULL")
     add_edges(state, r.types[0], edges)
-    rows = edges.dropDuplicates(["src", "dst"]).count()
+    rows = edges.select("src", "dst").distinct().count()
     state.counts["relationships_created"] += rows
     state.counts["properties_set"] += rows * len(props)
     phys = {"_type": f"{prefix}__type", "_src": f"{prefix}__src", "_dst": f"{prefix}__dst"} | {p: f"{prefix}__{p}" for p in props}
@@ -303,8 +316,10 @@ def set_item(state: State, item: A.SetItem, remove: bool) -> None:
         source = k.ev(item.value, f.scope)
         changes = {p: V.part(source, p) for p in source.fields if not p.startswith("_")}
         clear = item.kind == "replace"
-    rows = f.df.select(*[V.part(v, x).col.alias(f"__k{x}") for x in keys], *[x.col.alias(f"__n_{p}") for p, x in changes.items()]).dropDuplicates([f"__k{x}" for x in keys])
-    rows = k.scratch.write(rows.where(F.col(f"__k{keys[0]}").isNotNull()))
+    # rows are applied in order: of those for one entity the last wins
+    order = F.col(state.order) if state.order in f.df.columns else F.monotonically_increasing_id()
+    rows = f.df.select(*[V.part(v, x).col.alias(f"__k{x}") for x in keys], *[x.col.alias(f"__n_{p}") for p, x in changes.items()], order.alias("__order"))
+    rows = k.scratch.write(last_rows(rows.where(F.col(f"__k{keys[0]}").isNotNull()), [f"__k{x}" for x in keys], "__order"))
     state.counts["properties_set"] += rows.count() * len(changes)
 
     def changed(df: DataFrame, on: Column, ids: tuple, type_: str | None = None) -> DataFrame:
@@ -327,13 +342,19 @@ def set_item(state: State, item: A.SetItem, remove: bool) -> None:
 
     changes = {p: x for p, x in changes.items() if x.type != "null"} | {p: Value(F.lit(None).cast("string"), "null") for p, x in changes.items() if x.type == "null"}
     g = state.g
+    # only tables that hold a changed entity are written anew
     if v.type == "node":
         for i, t in enumerate(g.nodes):
+            if t.df.select("id").join(rows, F.col("id") == F.col("__k_id"), "left_semi").isEmpty():
+                continue
             typed = {p: x for p, x in changes.items() if x.type != "null" or p in t.df.columns}
             if typed or clear:
                 g.nodes[i] = replace(t, df=changed(t.df, F.col("id") == F.col("__k_id"), ("id",)))
     else:
+        types = {r[0] for r in rows.select("__k_type").distinct().collect()}
         for i, t in enumerate(g.edges):
+            if t.type not in types:
+                continue
             g.edges[i] = replace(t, df=changed(t.df, (F.col("src") == F.col("__k_src")) & (F.col("dst") == F.col("__k_dst")), ("src", "dst"), t.type))
     refresh(state)
 
@@ -392,23 +413,27 @@ def delete(state: State, d: A.Delete) -> None:
             rows = k.scratch.write(f.df.select(*[V.part(v, x).col.alias(x) for x in ("_type", "_src", "_dst")]).where("_src IS NOT NULL").distinct())
             for i, t in enumerate(g.edges):
                 own = rows.where(F.col("_type") == t.type).select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
-                left = k.scratch.write(t.df.join(own, ["src", "dst"], "left_anti"))
-                state.counts["relationships_deleted"] += t.df.count() - left.count()
-                g.edges[i] = replace(t, df=left)
+                lost = t.df.join(own, ["src", "dst"], "left_semi").count()
+                if lost:
+                    state.counts["relationships_deleted"] += lost
+                    g.edges[i] = replace(t, df=k.scratch.write(t.df.join(own, ["src", "dst"], "left_anti")))
         elif v.type == "node":
             ids = k.scratch.write(f.df.select(V.part(v, "_id").col.alias("id")).where("id IS NOT NULL").distinct())
             for i, t in enumerate(g.edges):
-                touch = t.df.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*t.df.columns)
-                touch = k.scratch.write(touch)
-                lost = t.df.count() - touch.count()
-                if lost and not d.detach:
+                from_, to = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
+                out = t.df.select("src", "dst").join(from_, "src", "left_semi").count()
+                into = t.df.select("src", "dst").join(from_, "src", "left_anti").join(to, "dst", "left_semi").count()
+                if not out + into:
+                    continue
+                if not d.detach:
                     raise CypherError("a node with relationships needs DETACH DELETE")
-                state.counts["relationships_deleted"] += lost
-                g.edges[i] = replace(t, df=touch)
+                state.counts["relationships_deleted"] += out + into
+                g.edges[i] = replace(t, df=k.scratch.write(t.df.join(from_, "src", "left_anti").join(to, "dst", "left_anti").select(*t.df.columns)))
             for i, t in enumerate(g.nodes):
-                left = k.scratch.write(t.df.join(ids, "id", "left_anti"))
-                state.counts["nodes_deleted"] += t.df.count() - left.count()
-                g.nodes[i] = replace(t, df=left)
+                lost = t.df.select("id").join(ids, "id", "left_semi").count()
+                if lost:
+                    state.counts["nodes_deleted"] += lost
+                    g.nodes[i] = replace(t, df=k.scratch.write(t.df.join(ids, "id", "left_anti")))
         elif v.type != "null":
             raise CypherError(f"{name} can't be deleted")
 

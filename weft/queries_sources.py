@@ -99,6 +99,13 @@ def write_set(spark: SparkSession, d: str) -> DataFrame:
     return s.cypher("MATCH (n:Nation) RETURN n.key AS key, n.code AS code, n:Eastern AS eastern")
 
 
+def write_set_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rows are applied in their order, so the last value of a list stays."""
+    s = _nations(spark, d)
+    s.cypher("MATCH (r:Region) UNWIND [1, 2, 3] AS x SET r.last = x + r.key")
+    return s.cypher("MATCH (r:Region) RETURN r.key AS key, r.last AS last")
+
+
 def write_merge(spark: SparkSession, d: str) -> DataFrame:
     s = _nations(spark, d)
     s.cypher("UNWIND ['ASIA', 'ATLANTIS', 'ATLANTIS'] AS name MERGE (r:Region {name: name}) ON CREATE SET r.key = 99, r.made = true ON MATCH SET r.made = false")
@@ -143,7 +150,7 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "vault_edges": vault_edges, "vault_dangling": vault_dangling, "vault_tags": vault_tags, "hash_vectors": hash_vectors,
     "vector_natural": vector_natural, "vector_search": vector_search, "vector_index": vector_index, "text_bm25": text_bm25, "text_phrase": text_phrase,
-    "text_prefix": text_prefix, "hybrid_search": hybrid_search, "write_set": write_set, "write_merge": write_merge, "write_create_delete": write_create_delete,
+    "text_prefix": text_prefix, "hybrid_search": hybrid_search, "write_set": write_set, "write_set_order": write_set_order, "write_merge": write_merge, "write_create_delete": write_create_delete,
     "record_merge": record_merge, "backup_restore": backup_restore, "stream_feed": stream_feed,
 }
 
@@ -158,6 +165,7 @@ c AS (SELECT doc_id, n, len(list_filter(ts, lambda x: x = 'tombstones')) AS a, l
 SELECT doc_id AS key, round(ln(1 + (cnt - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * n / mean)) + ln(1 + (cnt - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 OR b > 0""",
     "text_phrase": r"SELECT doc_id AS key FROM documents WHERE lang IN ('en', 'de') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}])night[^\p{L}\p{N}]+shift([^\p{L}\p{N}]|$)')",
     "write_set": "SELECT n_nationkey::BIGINT AS key, CASE WHEN r_name = 'ASIA' THEN n_nationkey * 10 END::BIGINT AS code, r_name = 'ASIA' AS eastern FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "write_set_order": "SELECT r_regionkey::BIGINT AS key, (r_regionkey + 3)::BIGINT AS last FROM region",
     "write_merge": "SELECT r_name AS name, r_regionkey::BIGINT AS key, CASE WHEN r_name = 'ASIA' THEN false END AS made FROM region UNION ALL SELECT 'ATLANTIS', 99, true",
     "write_create_delete": "SELECT n_nationkey::BIGINT AS key, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 3 UNION ALL SELECT 100, 'EUROPE' UNION ALL SELECT 200, NULL UNION ALL SELECT NULL, NULL",
     "record_merge": "SELECT r_regionkey::BIGINT AS key, CASE WHEN r_regionkey = 1 THEN 'RENAMED' ELSE r_name END AS name FROM region UNION ALL SELECT 77, 'ADDED'",
