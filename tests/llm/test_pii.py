@@ -100,5 +100,39 @@ def test_candidates_exclude_and_support_each_other():
 
 def test_context_is_learned_for_candidates():
     f = P.Field()
-    f.fit_spans([f"Call ({n}) 555-0{n} when it stops." for n in range(200, 400)])
+    f.fit_spans([P.Read.of(f"Call ({n}) 555-0{n} when it stops.") for n in range(200, 400)])
     assert f.spans("Call (646) 555-0125 when it stops.") == [(5, 19, "phone")]
+
+
+def test_chain_and_skip_potentials_find_names_of_unknown_words():
+    import copy
+    import random
+
+    from weft.llm.pii import Field, find
+
+    rng = random.Random(4)
+    firsts, lasts = ["Anna", "Bruno", "Carla", "Dario", "Elena", "Fabian"], ["Holberg", "Marston", "Quint", "Rosdal", "Tarland", "Vesper"]
+    filler = ["the cache was cold again", "we read every page twice", "nothing broke on the way", "Indexes were slow after lunch", "Pages stay open for a day"]
+    train = []
+    for i in range(400):
+        f, s = rng.choice(firsts), rng.choice(lasts)
+        cue = rng.choice([f"Signed-off-by: {f} {s}\n", f"Thanks to {f} {s} for the note.", f"Owner: {f} {s}\n", f"It was {f} {s} who found it."])
+        train.append(". ".join(rng.sample(filler, 3)) + ".\n" + cue)
+    held_f, held_s = ["Ysolde", "Ragnar", "Oktavia"], ["Brimsel", "Korvath", "Wexlund"]
+    texts, truth = [], []
+    for f in held_f:
+        for s in held_s:
+            text = f"{rng.choice(filler)}.\nSigned-off-by: {f} {s}\n{rng.choice(filler)}. Over at the desk {f} {s} keeps notes."
+            texts.append(text)
+            truth.append({(m, m + len(f"{f} {s}")) for m in (text.find(f"{f} {s}"), text.rfind(f"{f} {s}"))})
+    field = Field().fit(train)
+
+    def recall(skip, chain):
+        other = copy.deepcopy(field)
+        other.skip *= skip
+        other.chain *= chain
+        return sum(len({(a, b) for a, b, k in find(t, other) if k == "name"} & want) for t, want in zip(texts, truth)) / sum(map(len, truth))
+
+    got = {(s, c): recall(s, c) for s in (0, 1) for c in (0, 1)}
+    print(got)
+    assert got[1, 1] > got[0, 1] and got[1, 1] > got[1, 0]

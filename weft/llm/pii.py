@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +18,8 @@ OTHER, FIRST, SURNAME = 0, 1, 2
 #: Separators between neighbouring words.
 BLANK, HYPHEN, COMMA, BREAK = 0, 1, 2, 3
 BUCKETS = 1 << 17
+#: Log-odds for a repeated word to keep its label, before anything is learned: texts that repeat a name are rare.
+SKIP_PRIOR = (0.0, 1.5, 1.5)
 
 _SEP = r"[     ]"
 _DASH = r"[-‐‑‒–]"
@@ -31,6 +33,9 @@ _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 _LOCAL = r"(?<![\w.+@-])[\w](?:[\w.+%'-]*[\w])?"
 EMAIL = re.compile(rf"{_LOCAL}(?:{_AT}(?:{_LABEL}{_DOT})+[^\W\d_]{{2,}}|{_SEP}at{_SEP}(?:{_LABEL}(?:{_SEP}dot{_SEP}))+[^\W\d_]{{2,}})(?![\w@])", re.I)
 
+#: What any address has; most texts have none of these and needn't be searched for one.
+_AT_SIGN = re.compile(rf"[@＠]|[\[({{<]{_SEP}?at{_SEP}?[\])}}>]|{_SEP}at{_SEP}[^\s]+{_SEP}dot{_SEP}", re.I)
+
 _EXT = rf"(?:,?{_SEP}?(?:ext|extension|x|durchwahl|nebenstelle|int)\.?{_SEP}?\d{{1,6}})?"
 PHONE = re.compile(
     rf"(?<![\w.+#/-])(?:"
@@ -86,24 +91,49 @@ class Word:
     shape: int  # 0 lower, 1 capital, 2 upper, 3 initial, 4 mixed
 
 
-def words(text: str, taken: list[tuple[int, int]]) -> list[Word]:
-    """The words of the text outside the taken spans, which are in order."""
-    out, k = [], 0
-    for m in _WORD.finditer(text):
-        a, b = m.span()
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if k < len(taken) and taken[k][0] < b:
-            continue
-        w = m.group()
+class Words:
+    """The words of a text outside the taken spans, which are in order. Most are never looked at beyond their letters."""
+
+    def __init__(self, text: str, taken: list[tuple[int, int]] = ()):
+        self.text = text
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+        if taken:
+            starts, ends = [a for a, _ in taken], [b for _, b in taken]
+            out = []
+            for a, b in self.spans:
+                k = bisect_right(ends, a)
+                if k == len(starts) or b <= starts[k]:
+                    out.append((a, b))
+            self.spans = out
+        self._made: dict[int, Word] = {}
+
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def __iter__(self) -> Iterator[Word]:
+        return (self[i] for i in range(len(self.spans)))
+
+    def __getitem__(self, i: int) -> Word:
+        if i < 0:
+            i += len(self.spans)
+        got = self._made.get(i)
+        if got is None:
+            got = self._made[i] = self._make(*self.spans[i])
+        return got
+
+    def _make(self, a: int, b: int) -> Word:
+        w = self.text[a:b]
         if b - a == 1:
             shape = 3 if w.isupper() else 0
-            if shape == 3 and text[b : b + 1] == ".":
+            if shape == 3 and self.text[b : b + 1] == ".":
                 b += 1
         else:
             shape = 0 if w.islower() else 2 if w.isupper() else 1 if w[0].isupper() and w[1:].islower() else 4
-        out.append(Word(a, b, w.casefold() + "." * (b - a - len(w)), shape))
-    return out
+        return Word(a, b, w.casefold() + "." * (b - a - len(w)), shape)
+
+
+def _neighbours(ws: Words) -> Iterator[tuple[Word, Word]]:
+    return ((ws[i], ws[i + 1]) for i in range(len(ws) - 1))
 
 
 def gap(text: str, a: Word, b: Word) -> int:
@@ -121,7 +151,7 @@ def gap(text: str, a: Word, b: Word) -> int:
 def fixed_forms(text: str) -> list[tuple[int, int, str, float]]:
     """Candidates (start, end, kind, prior log-odds) of the kinds with a fixed writing; they may overlap, and may be none."""
     out = []
-    if "@" in text or "at" in text or "AT" in text or "＠" in text:
+    if _AT_SIGN.search(text):
         out += [(*m.span(), "email", 6.0) for m in EMAIL.finditer(text)]
     for m in NATIONAL_ID.finditer(text):
         out.append((*m.span(), "national_id", 4.0 + 3.0 * bool(_ID_CUES.search(text, max(0, m.start() - 40), m.start()))))
@@ -145,7 +175,7 @@ def lexical(low: str) -> list[str]:
     return [f"w={low}", f"s3={low[-3:]}", f"s4={low[-4:]}", f"s5={low[-5:]}", f"p3={low[:3]}", f"p4={low[:4]}"]
 
 
-def contextual(text: str, ws: list[Word], i: int, gaps: list[int]) -> list[str]:
+def contextual(text: str, ws: Words, i: int, gaps: list[int]) -> list[str]:
     w = ws[i]
     left = gaps[i - 1] if i else BREAK
     right = gaps[i] if i + 1 < len(ws) else BREAK
@@ -190,7 +220,23 @@ _TURNED = re.compile(rf"(?P<s>{_N}(?:[ -]{_N})?), (?P<f>{_N}(?:-{_N})?)(?![\w-])
 _TITLES = {"dr", "mr", "mrs", "ms", "prof", "sr", "sra", "frau", "herr", "don", "doña"}
 
 
-def _lexicon(texts: list[str], rounds: int = 3) -> dict[str, int]:
+@dataclass
+class Read:
+    """A text with its candidates of fixed writing, those that the priors alone choose, and the words outside them."""
+
+    text: str
+    found: list[tuple[int, int, str, float]]
+    taken: list[tuple[int, int, str]]
+    words: Words
+
+    @classmethod
+    def of(cls, text: str) -> "Read":
+        found = fixed_forms(text)
+        taken = resolve(found)
+        return cls(text, found, taken, Words(text, [(a, b) for a, b, _ in taken]))
+
+
+def _lexicon(texts: list[Read], rounds: int = 3) -> dict[str, int]:
     """Words seen in names behind bylines, with their role; words that stand elsewhere far more often are left out.
 
     Then, a few times over, words that mostly stand where a known name leaves room for the other part of it.
@@ -199,11 +245,11 @@ def _lexicon(texts: list[str], rounds: int = 3) -> dict[str, int]:
     everywhere: Counter = Counter()
     capital: Counter = Counter()
     beside: list[tuple[str, str, int]] = []
-    for text in texts:
-        ws = words(text, [(a, b) for a, b, _ in resolve(fixed_forms(text))])
+    for read in texts:
+        text, ws = read.text, read.words
         everywhere.update(w.low for w in ws)
         capital.update(w.low for w in ws if w.shape in (1, 2))
-        for v, w in zip(ws, ws[1:]):
+        for v, w in _neighbours(ws):
             if w.start - v.end <= 2 and (w.shape in (1, 2) or v.shape in (1, 2)) and (g := gap(text, v, w)) != BREAK:
                 beside.append((v.low, w.low, g))
         for cue in BYLINES.finditer(text):
@@ -249,10 +295,12 @@ class Field:
     def __init__(self) -> None:
         self.weights = np.zeros((BUCKETS, 3), np.float32)
         self.chain = np.zeros((4, 3, 3), np.float32)
-        self.skip = np.zeros((3, 3), np.float32)
+        self.skip = np.diag(SKIP_PRIOR).astype(np.float32)
         self.span_weights = np.zeros(BUCKETS, np.float32)
         self.span_skip = 0.5
         self.cache: dict[str, np.ndarray] = {}
+        self.likely: set[str] = set()
+        self.unlikely: set[str] = set()
 
     def fit(self, texts: list[str], epochs: int = 6, seed: int = 7) -> "Field":
         """Train on texts labelled by the names that stand behind bylines and by the words these names are made of.
@@ -260,16 +308,18 @@ class Field:
         Runs of at least two such words are names; single ones are left out, since they may be parts of names that
         were not recognised. Everything else is labelled other.
         """
-        self.fit_spans(texts)
-        known = _lexicon(texts)
+        reads = [Read.of(t) for t in texts]
+        self.fit_spans(reads)
+        known = _lexicon(reads)
+        rng = np.random.default_rng(seed)
+        share = max(0.15, 20_000 / max(1, sum(len(r.words) for r in reads)))  # names whole, other words by chance
         rows = array("i")
         labels, left, right, far = [], [], [], []
-        for text in texts:
-            taken = resolve(fixed_forms(text))
-            ws = words(text, [(a, b) for a, b, _ in taken])
-            if not ws:
+        for read in reads:
+            text, ws = read.text, read.words
+            if not len(ws):
                 continue
-            gaps = [gap(text, a, b) for a, b in zip(ws, ws[1:])]
+            gaps = [gap(text, a, b) for a, b in _neighbours(ws)]
             marks = [known.get(w.low, FIRST if w.shape == 3 else OTHER) for w in ws]
             run = [0] * len(ws)
             i = 0
@@ -288,8 +338,9 @@ class Field:
                         if not marks[j] and ws[j].shape in (1, 2):
                             run[j] = -2
             seen: dict[str, int] = {}
+            chance = rng.random(len(ws))
             for i, w in enumerate(ws):
-                if run[i] >= 0:
+                if run[i] >= 0 and (y[i] or chance[i] < share):
                     rows.extend(_bucket(f) for f in lexical(w.low) + contextual(text, ws, i, gaps))
                     labels.append(y[i])
                     left.append(gaps[i - 1] * 3 + y[i - 1] if i else BREAK * 3)
@@ -301,10 +352,8 @@ class Field:
         x, y = np.frombuffer(rows, np.int32).reshape(len(labels), -1), np.array(labels)
         left, right, far = np.array(left), np.array(right), np.array(far)
         grad2, chain2, skip2 = np.full_like(self.weights, 1e-2), np.full_like(self.chain, 1.0), np.full_like(self.skip, 1.0)
-        rng = np.random.default_rng(seed)
-        keep = np.flatnonzero((y > 0) | (rng.random(len(y)) < max(0.15, 20_000 / len(y))))  # names whole, others by chance
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(keep), max(1, len(keep) // 512)):
+            for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 512)):
                 xb, yb = x[part], y[part]
                 s = self.weights[xb].sum(1)
                 s += self.chain[left[part] // 3, left[part] % 3]
@@ -331,12 +380,11 @@ class Field:
         self.skip = (self.skip + self.skip.T) / 2
         return self
 
-    def fit_spans(self, texts: list[str], epochs: int = 8) -> None:
+    def fit_spans(self, reads: list[Read], epochs: int = 8) -> None:
         """Fit what the context of candidates adds, on the labels that the priors alone would give."""
         rows, prior, labels, twin = [], [], [], []
-        for text in texts:
-            found = fixed_forms(text)
-            on = set(resolve(found))
+        for read in reads:
+            text, found, on = read.text, read.found, set(read.taken)
             seen: dict[tuple[str, str], float] = {}
             for a, b, kind, score in found:
                 y = (a, b, kind) in on
@@ -405,14 +453,24 @@ class Field:
             got = self.cache[low] = self.weights[[_bucket(f) for f in lexical(low)]].sum(0)
         return got
 
-    def label(self, text: str, ws: list[Word], least: float = -2.0) -> list[int]:
+    def may_name(self, text: str, least: float = -2.0) -> bool:
+        """Whether any word's form speaks for a name, or against it by no more than ``least``."""
+        found = set(_WORD.findall(text)) - self.unlikely
+        for w in found - self.likely:
+            s = self._form(w.casefold())
+            (self.likely if len(w) > 1 and max(s[1], s[2]) - s[0] > least else self.unlikely).add(w)
+        if len(self.unlikely) > 500_000:
+            self.unlikely.clear()
+        return not found.isdisjoint(self.likely)
+
+    def label(self, text: str, ws: Words, least: float = -2.0) -> list[int]:
         """The label of each word by loopy message passing.
 
         A word whose form alone speaks against a name by more than ``least`` is other and takes no part.
         """
         out = [OTHER] * len(ws)
-        forms = [self._form(w.low) for w in ws]
-        live = [i for i, (w, s) in enumerate(zip(ws, forms)) if w.shape != 3 and max(s[1], s[2]) - s[0] > least]
+        self.may_name(text, least)
+        live = [i for i, (a, b) in enumerate(ws.spans) if text[a:b] in self.likely]
         if not live:
             return out
         nodes = set(live)
@@ -424,7 +482,7 @@ class Field:
         gaps = [BREAK] * len(ws)
         for j in around:
             gaps[j] = gap(text, ws[j], ws[j + 1])
-        unary = np.array([forms[i] + self.weights[[_bucket(f) for f in contextual(text, ws, i, gaps)]].sum(0) for i in order], np.float64)
+        unary = np.array([self._form(ws[i].low) + self.weights[[_bucket(f) for f in contextual(text, ws, i, gaps)]].sum(0) for i in order], np.float64)
         a, b, tables = [], [], []
         seen: dict[str, int] = {}
         for k, i in enumerate(order):
@@ -471,7 +529,7 @@ def resolve(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, st
     return out
 
 
-def names(text: str, ws: list[Word], labels: list[int]) -> list[tuple[int, int]]:
+def names(text: str, ws: Words, labels: list[int]) -> list[tuple[int, int]]:
     """Spans of first name or initial with surnames, in either order."""
     out, i, n = [], 0, len(ws)
     while i < n:
@@ -503,7 +561,9 @@ def names(text: str, ws: list[Word], labels: list[int]) -> list[tuple[int, int]]
 def find(text: str, field: Field) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text, in order and without overlap."""
     fixed = field.spans(text)
-    ws = words(text, [(a, b) for a, b, _ in fixed])
+    if not field.may_name(text):
+        return fixed
+    ws = Words(text, [(a, b) for a, b, _ in fixed])
     labels = field.label(text, ws)
     return sorted(fixed + [(a, b, "name") for a, b in names(text, ws, labels)])
 
