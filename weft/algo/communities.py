@@ -1,6 +1,7 @@
 """Communities by moves in node order, and betweenness.
 
-Label propagation and modularity moves depend on the order of the moves, so a weak component is worked on by one task.
+Label propagation and modularity moves depend on the order of the moves, so a weak component is worked on by one task;
+a component of more than COMPONENT_EDGES edges is refused.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.algo.components import weak_roots
 from weft.algo.projection import dense_index, project
+from weft.cypher.ast import CypherError
 from weft.plans.catalog import Catalog
 from weft.storage import Scratch
 
 #: Edges that betweenness sends to every task at most; beyond them the search runs as joins.
 SENT_EDGES = 20_000_000
+#: (Source, vertex) rows that the search by joins makes at once, about: sources go in batches.
+SOURCE_ROWS = 2_000_000_000
+#: Edges of a weak component, both ways, that label propagation and Louvain take at most.
+COMPONENT_EDGES = 20_000_000
 
 
 def _adjacency(t: pa.Table) -> tuple[np.ndarray, list[dict[int, float]]]:
@@ -37,11 +43,16 @@ def _per_component(g: Catalog, config: dict | None, solve, name: str) -> DataFra
     nodes, edges = project(g, config, undirected=True)
     scratch = Scratch(g.spark, name)
     nodes = scratch.write(nodes)
-    edges = scratch.write(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    # a loop counts for both of its ends
+    edges = scratch.write(edges.groupBy("src", "dst").agg((F.sum("weight") * F.when(F.col("src") == F.col("dst"), 2.0).otherwise(1.0)).alias("weight")))
     index = dense_index(nodes, "id", scratch)
     index = scratch.write(index)
     roots = weak_roots(nodes, edges, scratch)
     rows = edges.join(index.select(F.col("id").alias("src"), F.col("index").alias("a")), "src").join(index.select(F.col("id").alias("dst"), F.col("index").alias("b")), "dst").join(roots.withColumnRenamed("id", "src"), "src").select("root", "a", "b", F.col("weight").alias("w"))
+    rows = scratch.write(rows)
+    most = rows.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    if most > COMPONENT_EDGES:
+        raise CypherError(f"a weak component has {most} edges, more than {COMPONENT_EDGES}: its moves have an order, so one task would hold it")
     alone = index.join(roots, "id").select("root", F.col("index").alias("a"), F.col("index").alias("b"), F.lit(float("nan")).alias("w"))
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
 
@@ -96,7 +107,7 @@ def louvain(g: Catalog, config: dict | None = None) -> DataFrame:
             label, weight = list(range(len(links))), list(strength)
             gained = 0.0
             for _ in range(most):
-                gain = 0.0
+                gain, moved = 0.0, False
                 for i, near in enumerate(links):
                     own = label[i]
                     to: dict[int, float] = {own: 0.0}
@@ -110,8 +121,9 @@ def louvain(g: Catalog, config: dict | None = None) -> DataFrame:
                     gain += 2 * (score[best] - score[own]) / m2
                     weight[best] += strength[i]
                     label[i] = best
+                    moved |= best != own
                 gained += gain
-                if gain < tolerance:
+                if not moved:
                     break
             names = {c: k for k, c in enumerate(sorted(set(label)))}
             label = [names[c] for c in label]
@@ -150,16 +162,15 @@ def betweenness(g: Catalog, config: dict | None = None) -> DataFrame:
             score = np.zeros(n)
             for batch in batches:
                 for s in batch.column(0).to_pylist():
-                    paths, far = np.zeros(n), np.full(n, -1)
-                    paths[s], far[s] = 1.0, 0
+                    paths, far = {s: 1.0}, {s: 0}
                     before: dict[int, list[int]] = {}
                     seen, todo = [], deque([s])
                     while todo:
                         v = todo.popleft()
                         seen.append(v)
                         for w in ends[starts[v] : starts[v + 1]].tolist():
-                            if far[w] < 0:
-                                far[w] = far[v] + 1
+                            if w not in far:
+                                far[w], paths[w] = far[v] + 1, 0.0
                                 todo.append(w)
                             if far[w] == far[v] + 1:
                                 paths[w] += paths[v]
@@ -175,7 +186,10 @@ def betweenness(g: Catalog, config: dict | None = None) -> DataFrame:
 
         parts = index.select("index").repartition(g.spark.sparkContext.defaultParallelism).mapInArrow(run, "index long, part double")
     else:
-        parts = _between_by_joins(index, pairs, scratch)
+        batches, parts = -(-n * n // SOURCE_ROWS), None
+        for k in range(batches):
+            part = scratch.write(_between_by_joins(index.where(F.pmod("index", F.lit(batches)) == k), pairs, scratch).groupBy("index").agg(F.sum("part").alias("part")))
+            parts = part if parts is None else parts.unionByName(part)
     total = parts.groupBy("index").agg((F.sum("part") * half).alias("score"))
     return index.join(total, "index", "left").select(F.col("id").alias("node_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

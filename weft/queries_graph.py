@@ -200,7 +200,13 @@ social(
 reach AS (SELECT v, u FROM b UNION SELECT r.v, b.u FROM reach r JOIN b ON r.u = b.v), roots AS (SELECT id, least(id, coalesce(min(u), id)) AS root FROM p LEFT JOIN reach ON v = id GROUP BY id)
 SELECT dense_rank() OVER (ORDER BY root) - 1 AS component, count(*) AS n FROM roots GROUP BY root""",
 )
-social("algo_scc", f"CALL algo.scc({_KNOWS}) YIELD node_id, component RETURN component, count(*) AS n")
+social(
+    "algo_scc",
+    f"CALL algo.scc({_KNOWS}) YIELD node_id, component RETURN id(node_id) AS id, component",
+    _K.replace("WITH E", "WITH RECURSIVE E") + """, reach AS (SELECT DISTINCT src AS v, dst AS u FROM k UNION SELECT r.v, k.dst FROM reach r JOIN k ON r.u = k.src),
+roots AS (SELECT p.id, least(p.id, coalesce(min(a.u), p.id)) AS root FROM p LEFT JOIN (SELECT x.v, x.u FROM reach x JOIN reach y ON x.v = y.u AND x.u = y.v) a ON a.v = p.id GROUP BY 1)
+SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS component FROM roots""",
+)
 social("algo_pagerank", f"CALL algo.pagerank({{labels: ['Person'], edge_types: ['KNOWS']}}) YIELD node_id, score RETURN id(node_id) AS id, score")
 social(
     "algo_shortest_path",
@@ -210,8 +216,8 @@ f(v, d) AS (SELECT '43017e9b4a3f2b0d8774c811474e0ea7', 0 WHERE '43017e9b4a3f2b0d
 SELECT v AS id, min(d)::DOUBLE AS distance, min(d)::BIGINT AS hops FROM f GROUP BY 1""",
     params={"s": "43017e9b4a3f2b0d8774c811474e0ea7"},
 )
-social("algo_label_propagation", "CALL algo.label_propagation({edge_types: ['REPLY_OF']}) YIELD node_id, community RETURN community, count(*) AS n")
-social("algo_louvain", "CALL algo.louvain({edge_types: ['REPLY_OF']}) YIELD node_id, community RETURN community, count(*) AS n")
+social("algo_label_propagation", "CALL algo.label_propagation({}) YIELD node_id, community RETURN id(node_id) AS id, community")
+social("algo_louvain", "CALL algo.louvain({}) YIELD node_id, community RETURN id(node_id) AS id, community")
 social("algo_betweenness", "CALL algo.betweenness({labels: ['Comment'], edge_types: ['REPLY_OF']}) YIELD node_id, score RETURN id(node_id) AS id, score")
 social("algo_fastrp", "CALL algo.fastRP({edge_types: ['LINKS_TO'], dimension: 16}) YIELD node_id, embedding RETURN id(node_id) AS id, embedding")
 

@@ -76,7 +76,7 @@ def text_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 def text_prefix(spark: SparkSession, d: str) -> DataFrame:
     q = "CALL search.bm25({label: 'Doc', text_property: 'text', query: 'tombst*', k: 20}) YIELD node, score RETURN node.key AS key, score"
-    return _docs(spark, d).cypher(q)
+    return _docs(spark, d).cypher(q).select("key", F.round("score", 6).alias("score"))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +164,9 @@ SQL = {
 c AS (SELECT doc_id, n, len(list_filter(ts, lambda x: x = 'tombstones')) AS a, len(list_filter(ts, lambda x: x = 'gateway')) AS b FROM d), s AS (SELECT count(*) AS cnt, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
 SELECT doc_id AS key, round(ln(1 + (cnt - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * n / mean)) + ln(1 + (cnt - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 OR b > 0""",
     "text_phrase": r"SELECT doc_id AS key FROM documents WHERE lang IN ('en', 'de') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}])night[^\p{L}\p{N}]+shift([^\p{L}\p{N}]|$)')",
+    "text_prefix": r"""WITH d AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts FROM documents) WHERE len(ts) > 0), s AS (SELECT count(*) AS cnt, avg(n) AS mean FROM d),
+c AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM d) WHERE starts_with(t, 'tombst') GROUP BY 1, 2, 3), f AS (SELECT t, count(*) AS df FROM c GROUP BY 1 ORDER BY t LIMIT 64)
+SELECT doc_id AS key, round(sum(ln(1 + (cnt - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM c JOIN f USING (t), s GROUP BY 1 ORDER BY score DESC, key LIMIT 20""",
     "write_set": "SELECT n_nationkey::BIGINT AS key, CASE WHEN r_name = 'ASIA' THEN n_nationkey * 10 END::BIGINT AS code, r_name = 'ASIA' AS eastern FROM nation JOIN region ON n_regionkey = r_regionkey",
     "write_set_order": "SELECT r_regionkey::BIGINT AS key, (r_regionkey + 3)::BIGINT AS last FROM region",
     "write_merge": "SELECT r_name AS name, r_regionkey::BIGINT AS key, CASE WHEN r_name = 'ASIA' THEN false END AS made FROM region UNION ALL SELECT 'ATLANTIS', 99, true",
