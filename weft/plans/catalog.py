@@ -43,6 +43,7 @@ class Catalog:
     edges: list[EdgeTable] = field(default_factory=list)
     constraints: dict[str, tuple] = field(default_factory=dict)  # name: (rule, label, properties)
     indexes: dict[str, tuple] = field(default_factory=dict)  # name: (kind, label, properties)
+    built: dict[tuple, tuple] = field(default_factory=dict)  # (label, property): tables and the index built over them
 
     def copy(self) -> "Catalog":
         return replace(self, nodes=list(self.nodes), edges=list(self.edges), constraints=dict(self.constraints), indexes=dict(self.indexes))
@@ -114,6 +115,14 @@ class Catalog:
         return self.spark.createDataFrame(rows, "name string, type string, entityType string, labelsOrTypes array<string>, properties array<string>")
 
 
+def wider(kinds: set[str]) -> str:
+    """The type that holds all of these: double for numbers, lists of it for lists of numbers, else text."""
+    numbers = {"int", "bigint", "float", "double"}
+    if kinds <= numbers:
+        return "double"
+    return "array<double>" if kinds <= {f"array<{n}>" for n in numbers} else "string"
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """By name; a property that a table lacks is null, one that differs in type becomes the wider type, else text."""
     if len(parts) == 1:
@@ -124,7 +133,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
             kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
     fixed = []
     for p in parts:
-        cols = [F.col(f.name) if len(kinds[f.name]) == 1 else F.col(f.name).cast("double" if kinds[f.name] <= {"bigint", "double"} else "string").alias(f.name) for f in p.schema]
+        cols = [F.col(f.name) if len(kinds[f.name]) == 1 else F.col(f.name).cast(wider(kinds[f.name])).alias(f.name) for f in p.schema]
         fixed.append(p.select(*cols))
     out = fixed[0]
     for p in fixed[1:]:
@@ -137,4 +146,4 @@ def tagged(number: int, key: Column) -> Column:
     return F.lit(number << 48) + key.cast("long")
 
 
-__all__ = ["Catalog", "EdgeTable", "NodeTable", "tagged", "type_of", "union"]
+__all__ = ["Catalog", "EdgeTable", "NodeTable", "tagged", "type_of", "union", "wider"]

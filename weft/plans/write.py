@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weft.cypher import ast as A
 from weft.cypher.ast import CypherError
 from weft.plans import values as V
-from weft.plans.catalog import Catalog, EdgeTable, NodeTable, type_of, union
+from weft.plans.catalog import Catalog, EdgeTable, NodeTable, type_of, union, wider
 from weft.plans.compile import Compiler, Frame, physical
 from weft.plans.values import Value
 
@@ -45,7 +45,14 @@ def schema(session: Any, q: A.Schema) -> DataFrame:
 
 
 def check_constraints(g: Catalog) -> None:
-    """Raise on the first violation. A unique rule holds for nodes that have all its properties."""
+    """Raise on the first violation. A unique rule holds for nodes that have all its properties; the vectors under a
+    vector index are of one dimension."""
+    for name, (kind, label, props) in g.indexes.items():
+        rows = g.scan((label,), props=set(props))
+        if kind == "vector index" and props[0] in rows.columns and rows.schema[props[0]].dataType.typeName() == "array":
+            sizes = rows.where(F.col(props[0]).isNotNull()).select(F.size(props[0])).distinct().limit(2).collect()
+            if len(sizes) > 1:
+                raise CypherError(f"{name}: vectors of {label} have {sizes[0][0]} and {sizes[1][0]} values")
     for name, (rule, label, props) in g.constraints.items():
         rows = g.scan((label,), props=set(props))
         for p in props:
@@ -333,7 +340,7 @@ def set_item(state: State, item: A.SetItem, remove: bool) -> None:
                 x = F.col(f"__n_{c}")
                 old = F.col(c) if c in df.columns else F.lit(None)
                 if c in df.columns and df.schema[c].dataType != new.schema[f"__n_{c}"].dataType and changes[c].type != "null":
-                    t = "double" if {df.schema[c].dataType.simpleString(), new.schema[f"__n_{c}"].dataType.simpleString()} <= {"bigint", "double"} else "string"
+                    t = wider({df.schema[c].dataType.simpleString(), new.schema[f"__n_{c}"].dataType.simpleString()})
                     x, old = x.cast(t), old.cast(t)
                 cols.append(F.when(F.col("__hit"), x).otherwise(old).alias(c))
             else:

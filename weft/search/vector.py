@@ -33,10 +33,22 @@ def nearest(rows: DataFrame, vector: str, query: list[float], k: int, metric: st
 
 
 def search_vector(g: Catalog, config: dict[str, Any]) -> DataFrame:
+    """Exact, but with ``ef`` on a property that has a vector index (cosine only): then its inverted file is searched,
+    as many of its nearest cells as hold about 8 * ef vectors, and their vectors are ranked exactly. The file is built
+    at the first such search and kept while the nodes of the label are the same."""
     c = settings(dict(config), {"label", "property", "query"}, {"k", "ef", "metric", "filter"})
-    rows = apply_filter(g.scan((c["label"],)), c.get("filter"))
+    whole = g.scan((c["label"],))
+    rows = apply_filter(whole, c.get("filter"))
     if c["property"] not in rows.columns:
         return g.spark.createDataFrame([], f"node {g.id_type()}, score double")
+    indexed = any(kind == "vector index" and (label, props[0]) == (c["label"], c["property"]) for kind, label, props in g.indexes.values())
+    if c.get("ef") is not None and indexed and c.get("metric", "cosine") == "cosine":
+        tables = [t.df for t in g.node_tables((c["label"],))]
+        key = (c["label"], c["property"])
+        if key not in g.built or any(a is not b for a, b in zip(g.built[key][0], tables, strict=False)) or len(g.built[key][0]) != len(tables):
+            g.built[key] = (tables, InvertedFile(whole, c["property"]))
+        found = g.built[key][1].search(list(c["query"]), c.get("k", 10), g.built[key][1].probes(int(c["ef"])), rows.select("id") if c.get("filter") else None)
+        return found.withColumnRenamed("id", "node")
     return nearest(rows, c["property"], list(c["query"]), c.get("k", 10), c.get("metric", "cosine")).withColumnRenamed("id", "node")
 
 
@@ -86,7 +98,23 @@ class InvertedFile:
         placed = usable.mapInArrow(place, f"id {kind}, vector array<float>, cell int")
         self.table = Scratch(spark, "cells").write(placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))), ["cell"])
 
-    def search(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
+        self.rows = self.table.count()
+
+    def probes(self, ef: int) -> int:
+        """Cells that hold about 8 * ef vectors."""
+        return max(4, -(-8 * ef * len(self.centres) // max(1, self.rows)))
+
+    def search(self, query: list[float], k: int, probes: int = 8, only: DataFrame | None = None) -> DataFrame:
+        """id, score of the k best in the cells nearest to the query; ``only`` (id) restricts them beforehand."""
         q = np.asarray(query, np.float32)
         best = np.argsort(-(self.centres @ q), kind="stable")[:probes].tolist()
-        return nearest(self.table.where(F.col("cell").isin(best)), "vector", query, k)
+        rows = self.table.where(F.col("cell").isin(best))
+        return nearest(rows if only is None else rows.join(only, "id", "left_semi"), "vector", query, k)
+
+
+def nearest_codes(codes: DataFrame, key: str, query: list[float], k: int) -> DataFrame:
+    """key, score: the k best of quantised vectors (see quantize) by cosine; the scales cancel out."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    v = F.transform("codes", lambda x: x.cast("double"))
+    scored = codes.select(key, F.when(F.size("codes") == len(query), S.cosine(v, q)).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
+    return scored.orderBy(F.desc("score"), key).limit(k)

@@ -75,6 +75,13 @@ def remove_nodes(g: Catalog, ids: DataFrame) -> Catalog:
     return out
 
 
+def remove_edges(g: Catalog, type_: str, ends: DataFrame) -> Catalog:
+    """Take away the edges of a type between given ends (columns src, dst)."""
+    out, gone = g.copy(), ends.select("src", "dst").distinct()
+    out.edges = [EdgeTable(t.type, t.df.join(gone, ["src", "dst"], "left_anti").select(*t.df.columns), t.src_label, t.dst_label) if t.type == type_ else t for t in g.edges]
+    return out
+
+
 def lookup_node(g: Catalog, node_id: Any) -> DataFrame:
     return g.scan().where(F.col("id") == node_id)
 

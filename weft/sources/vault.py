@@ -175,3 +175,41 @@ def orphans(g: Catalog) -> DataFrame:
     from weft.session import GraphSession
 
     return GraphSession(g.spark, g).cypher("MATCH (n:Note) WHERE NOT n.placeholder AND NOT (n)-[:LINKS_TO|EMBEDS]-() RETURN id(n) AS note")
+
+
+def vault_sync(old: DataFrame, new: DataFrame, prune: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The notes after taking over a new state, and what changed (as vault_diff). Without ``prune`` notes that are no
+    longer there stay. Unchanged notes keep their old rows."""
+    changes = vault_diff(old, new)
+    if not prune:
+        changes = changes.where("change <> 'removed'")
+    key = [F.coalesce("vault", F.lit("")), F.col("path")]
+    mark = lambda df: df.where("path IS NOT NULL").withColumn("__v", key[0])
+    touched = changes.select(F.col("vault").alias("__v"), "path", "change")
+    kept = mark(old).join(touched, ["__v", "path"], "left_anti")
+    taken = mark(new).join(touched.where("change <> 'removed'"), ["__v", "path"], "left_semi")
+    return kept.select("vault", "path", "text").unionByName(taken.select("vault", "path", "text")), changes
+
+
+def _ask(g: Catalog, text: str, **params: str) -> DataFrame:
+    from weft.session import GraphSession
+
+    return GraphSession(g.spark, g).cypher(text, params)
+
+
+def list_notes(g: Catalog) -> DataFrame:
+    return _ask(g, "MATCH (n:Note) WHERE NOT n.placeholder RETURN id(n) AS note, n.title AS title ORDER BY note")
+
+
+def note_neighbours(g: Catalog, note: str) -> DataFrame:
+    """Notes linked with a note in either direction, with the kind of link."""
+    return _ask(g, "MATCH (a:Note)-[r:LINKS_TO|EMBEDS]-(b:Note) WHERE id(a) = $note RETURN DISTINCT id(b) AS note, type(r) AS type", note=note)
+
+
+def list_tags(g: Catalog) -> DataFrame:
+    return _ask(g, "MATCH (t:Tag) OPTIONAL MATCH (n:Note)-[:TAGGED]->(t) RETURN t.name AS tag, count(n) AS notes ORDER BY tag")
+
+
+def notes_with_tag(g: Catalog, tag: str) -> DataFrame:
+    """Notes with a tag or one below it."""
+    return _ask(g, "MATCH (n:Note)-[:TAGGED]->(t:Tag) WHERE t.name = $tag OR t.name STARTS WITH $below RETURN DISTINCT id(n) AS note", tag=tag.lower().lstrip("#"), below=tag.lower().lstrip("#") + "/")
