@@ -265,7 +265,10 @@ def _walk(block: _Block, t: pa.Table) -> Iterator[pa.RecordBatch]:
     expanded = gone[r, v]
     r, v = r[expanded], v[expanded]
     k, entries = _spread(block.out_start, v)
-    yield pa.RecordBatch.from_arrays([pa.array(owners[r[k]]), pa.array(block.out_nb[entries]), pa.array(block.out_blk[entries]), pa.nulls(len(k), pa.float32()), pa.array(s[r, v][k])], ["owner", "nb", "blk", "sim", "via"])
+    r, nb, blk, via = r[k], block.out_nb[entries], block.out_blk[entries], s[r, v][k]
+    order = np.lexsort((-via, nb, r))  # near vertices share most of their links
+    order = order[np.r_[True, (r[order][1:] != r[order][:-1]) | (nb[order][1:] != nb[order][:-1])]] if len(order) else order
+    yield pa.RecordBatch.from_arrays([pa.array(owners[r[order]]), pa.array(nb[order]), pa.array(blk[order]), pa.nulls(len(order), pa.float32()), pa.array(via[order])], ["owner", "nb", "blk", "sim", "via"])
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, n: int, scratch: Scratch, rounds: int = 64) -> DataFrame:
