@@ -259,7 +259,7 @@ def _walk(block: _Block, t: pa.Table) -> Iterator[pa.RecordBatch]:
     seen = np.where(met, s, -9)
     best = _best(seen, BEAM)
     sims = np.take_along_axis(seen, best, 1)
-    r, c = np.nonzero(sims > -9)
+    r, c = np.nonzero((sims > -9) & (sims >= least[:, None]))  # others can't be among the best of the query
     v = best[r, c]
     yield pa.RecordBatch.from_arrays([pa.array(owners[r]), pa.array(block.ids[v]), pa.nulls(len(r), pa.int64()), pa.array(sims[r, c]), pa.nulls(len(r), pa.float32())], ["owner", "nb", "blk", "sim", "via"])
     expanded = gone[r, v]
