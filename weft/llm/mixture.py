@@ -23,13 +23,17 @@ def source_key(c: Column) -> Column:
 
 
 def count_tokens(documents: DataFrame, tokenizers: str = TOKENIZERS, ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, source, tokens: whole texts in tokens of a public byte-level BPE. Null and empty texts have 0 tokens."""
-    path = os.path.join(tokenizers, ranks_file)
+    """doc_id, source, tokens: whole texts in tokens of a public byte-level BPE. Null and empty texts have 0 tokens.
+
+    The driver reads the vocabulary and sends it to the tasks (about a megabyte), so executors need no copy of it.
+    """
+    with open(os.path.join(tokenizers, ranks_file), "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the vocabulary's own splitting
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
